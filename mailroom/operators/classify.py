@@ -11,13 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import DEFAULT_THRESHOLD, confidence
+from ..functions import prompts as P
 from ..functions.text import prefix, py_strip
 
-# Fixed value lists of the classification contract.
-INTENTS = ["support_request", "billing_question", "refund_request", "order_status", "complaint",
-           "partnership_inquiry", "general_inquiry", "spam", "urgent_issue"]
-SENTIMENTS = ["positive", "neutral", "frustrated", "angry", "confused", "excited"]
-URGENCIES = ["low", "normal", "high", "critical"]
 # Fixed fallback classification for a response that is not valid JSON.
 FALLBACK = {"intent": "general_inquiry", "department": "General", "sentiment": "neutral",
             "urgency": "normal"}
@@ -121,7 +117,8 @@ def resolve_department(df: DataFrame, departments: DataFrame, predicted: str = "
 
     The department table is a small configuration dimension; both joins
     broadcast it (after a size check by the caller's plan)."""
-    d = departments.select(F.lower("name").alias("_lname"), F.col("ord").alias("_ord"))
+    # first department (table order) per case-folded name
+    d = departments.groupBy(F.lower("name").alias("_lname")).agg(F.min("ord").alias("_ord"))
     last_ord = departments.agg(F.max("ord")).scalar()
     m = df.join(F.broadcast(d), F.lower(F.col(predicted)) == F.col("_lname"), "left")
     m = m.withColumn("_rord", F.coalesce(F.col("_ord"), last_ord)).drop("_lname", "_ord")
@@ -172,48 +169,38 @@ def dept_list(departments: DataFrame) -> Column:
     return agg.scalar()
 
 
+def _s(c) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _none(c) -> Column:
+    return F.coalesce(c, F.lit("None"))
+
+
 def classify_prompt(sender_name, sender_email, subject, body, depts: Column) -> Column:
-    return F.concat(
-        F.lit("Classify this customer email. Answer with one JSON object only, no markdown.\n\n"),
-        F.lit("From: "), F.coalesce(sender_name, F.lit("")), F.lit(" <"), F.coalesce(sender_email, F.lit("")),
-        F.lit(">\nSubject: "), F.coalesce(subject, F.lit("")),
-        F.lit("\nBody: "), prefix(F.coalesce(body, F.lit("")), CLASSIFY_BODY_CHARS),
-        F.lit("\n\nDepartments: "), F.coalesce(depts, F.lit("")),
-        F.lit("\n\nKeys: intent (one of: " + ", ".join(INTENTS) + "), department (a name from the list), "
-              "sentiment (one of: " + ", ".join(SENTIMENTS) + "), urgency (one of: " + ", ".join(URGENCIES)
-              + "), summary (one sentence), key_topics (list of short strings)."))
+    return P.render_spark(P.CLASSIFY, sender_name=_s(sender_name), sender_email=_s(sender_email),
+                          subject=_s(subject), body=prefix(_s(body), CLASSIFY_BODY_CHARS),
+                          departments=_s(depts))
 
 
 def reply_prompt(ctx, sender_name, sender_email, subject, body, intent, department, sentiment, urgency,
                  tone, signature) -> Column:
-    return F.concat(
-        F.lit("Write a reply to this customer email, using only facts from the knowledge below.\n\n"
-              "Knowledge:\n"),
-        F.coalesce(F.nullif(ctx, F.lit("")), F.lit(NO_KNOWLEDGE)),
-        F.lit("\n\nFrom: "), F.coalesce(F.nullif(sender_name, F.lit("")), F.lit("Customer")),
-        F.lit(" <"), F.coalesce(sender_email, F.lit("")), F.lit(">\nSubject: "), F.coalesce(subject, F.lit("")),
-        F.lit("\nMessage: "), prefix(F.coalesce(body, F.lit("")), REPLY_BODY_CHARS),
-        F.lit("\n\nIntent: "), F.coalesce(intent, F.lit("None")),
-        F.lit("\nDepartment: "), F.coalesce(department, F.lit("None")),
-        F.lit("\nSentiment: "), F.coalesce(sentiment, F.lit("None")),
-        F.lit("\nUrgency: "), F.coalesce(urgency, F.lit("None")),
-        F.lit("\n\nTone: "), tone, F.lit("\nSign with: "), signature,
-        F.lit("\nNo subject line; three to five short paragraphs."))
+    return P.render_spark(
+        P.REPLY, context=F.coalesce(F.nullif(ctx, F.lit("")), F.lit(NO_KNOWLEDGE)),
+        sender_name=F.coalesce(F.nullif(sender_name, F.lit("")), F.lit("Customer")),
+        sender_email=_s(sender_email), subject=_s(subject), body=prefix(_s(body), REPLY_BODY_CHARS),
+        intent=_none(intent), department=_none(department), sentiment=_none(sentiment),
+        urgency=_none(urgency), tone=_s(tone), signature=_s(signature))
 
 
 def regenerate_prompt(kb_ctx, sender_name, sender_email, subject, body, intent, sentiment, department,
                       instructions) -> Column:
-    extra = F.when(F.coalesce(instructions, F.lit("")) != "",
-                   F.concat(F.lit("\nExtra instructions: "), instructions)).otherwise(F.lit(""))
-    return F.concat(
-        F.lit("Write an improved reply to this email.\n\nKnowledge:\n"),
-        prefix(kb_ctx, REGEN_CONTEXT_CHARS),
-        F.lit("\n\nFrom: "), F.coalesce(sender_name, F.lit("None")), F.lit(" <"),
-        F.coalesce(sender_email, F.lit("None")), F.lit(">\nSubject: "), F.coalesce(subject, F.lit("None")),
-        F.lit("\nBody: "), prefix(F.coalesce(body, F.lit("")), REPLY_BODY_CHARS),
-        F.lit("\n\nIntent: "), F.coalesce(intent, F.lit("None")),
-        F.lit(", Sentiment: "), F.coalesce(sentiment, F.lit("None")),
-        F.lit(", Department: "), F.coalesce(department, F.lit("None")), extra)
+    extra = F.when(_s(instructions) != "", F.concat(F.lit("\nExtra instructions: "), instructions)
+                   ).otherwise(F.lit(""))
+    return P.render_spark(
+        P.REGENERATE, context=prefix(_s(kb_ctx), REGEN_CONTEXT_CHARS), sender_name=_none(sender_name),
+        sender_email=_none(sender_email), subject=_none(subject), body=prefix(_s(body), REPLY_BODY_CHARS),
+        intent=_none(intent), sentiment=_none(sentiment), department=_none(department), extra=extra)
 
 
 # ------------------------------------------------------------ M11 send results

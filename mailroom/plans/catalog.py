@@ -216,4 +216,5 @@ FROM (SELECT created_at, name, chunk_index, id, '[' || name || ']: ' || substrin
       FROM kb_chunks ORDER BY created_at, name, chunk_index, id LIMIT 20)""")
 def _kb_context(spark, d):
     return S.kb_context(_chunks(_fx(spark, d)))
-FLAGSHIP = "kb_topk"
+FLAGSHIP = "triage"
+from . import catalog_flow  # noqa: E402,F401  (registers the flow keys)
