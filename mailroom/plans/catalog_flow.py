@@ -42,10 +42,10 @@ DERIVED["dec_known"] = "SELECT d.*, e.ai_draft AS orig_draft FROM decisions d JO
 DERIVED["dec_approvals"] = """
 SELECT email_id, seq, "at", final_reply, human_edited FROM (
  SELECT email_id, seq, "at", reply_body,
-  CASE WHEN coalesce(reply_body, '') <> '' THEN reply_body ELSE asof END AS final_reply,
-  CASE WHEN coalesce(reply_body, '') <> '' AND (asof IS NULL OR reply_body <> asof) THEN 1 ELSE 0 END AS human_edited,
+  CASE WHEN coalesce(reply_body, '') <> '' THEN reply_body ELSE draft_then END AS final_reply,
+  CASE WHEN coalesce(reply_body, '') <> '' AND (draft_then IS NULL OR reply_body <> draft_then) THEN 1 ELSE 0 END AS human_edited,
   action FROM (
-  SELECT *, CASE WHEN has_prev THEN prev_regen ELSE orig_draft END AS asof FROM (
+  SELECT *, CASE WHEN has_prev THEN prev_regen ELSE orig_draft END AS draft_then FROM (
    SELECT *, last_value(CASE WHEN action = 'regenerate' THEN new_draft END IGNORE NULLS) OVER
      (PARTITION BY email_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_regen,
     count(CASE WHEN action = 'regenerate' THEN 1 END) OVER
