@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # (DuckDB), whose \s differ.
 WS_CLASS = r"[\t\n\x{0B}\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 WS_RUN = WS_CLASS + "+"
+# The same set as characters, for btrim (built from Python's own rule; no
+# whitespace character lies above U+3000).
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # A token is a maximal run of Unicode letters, digits and underscore
 # (Python's \w on lower-cased text).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
@@ -24,8 +27,9 @@ def col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), f"^{WS_RUN}|{WS_RUN}$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (character-set trim, no regex)."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def py_split_words(c) -> Column:

@@ -40,9 +40,13 @@ def _field(j: Column, key: str) -> Column:
     return F.try_variant_get(j, f"$.{key}", "variant")
 
 
-def parse_response_columns(response_text: Column, subject: Column) -> Column:
-    """Response text -> struct(outcome, intent, department, sentiment,
-    urgency, summary, topics).
+_REQUIRED = ("intent", "department", "sentiment", "urgency")
+
+
+def parse_response_frame(df: DataFrame, response_text: str = "response_text",
+                         subject: str = "subject") -> DataFrame:
+    """Append the parsed classification columns (outcome, intent,
+    department, sentiment, urgency, summary, topics) to ``df``.
 
     Whitespace is stripped, every ```json and ``` fence removed, then the
     text is parsed as JSON. Not JSON -> the fixed fallback classification.
@@ -51,51 +55,62 @@ def parse_response_columns(response_text: Column, subject: Column) -> Column:
     object; key_topics null, a number, a boolean, an object, or a list with a
     non-string) -> ``failed``. A string key_topics counts its characters as
     topics.
+
+    Built in stages (one projection each) so the text is cleaned once, the
+    JSON parsed once and every field's type read once per row; Catalyst does
+    not merge projections that would repeat these expressions.
     """
-    t = py_strip(F.regexp_replace(py_strip(F.coalesce(response_text, F.lit(""))), "```json|```", ""))
-    j = F.try_parse_json(t)
+    keep = [c for c in df.columns]
+    t = py_strip(F.regexp_replace(py_strip(F.coalesce(F.col(response_text), F.lit(""))), "```json|```", ""))
+    s1 = df.withColumn("_t", t)
+    s2 = s1.withColumn("_j", F.try_parse_json("_t"))
     # the JSON parser accepts trailing text after a container; Python does not
-    closed = (F.when(t.startswith("{"), t.endswith("}"))
-              .when(t.startswith("["), t.endswith("]")).otherwise(F.lit(True)))
-    valid = j.isNotNull() & closed
-    is_obj = valid & _vtype(j).startswith("OBJECT")
-    keys = F.map_keys(F.try_variant_get(j, "$", "map<string,variant>"))
+    closed = (F.when(F.col("_t").startswith("{"), F.col("_t").endswith("}"))
+              .when(F.col("_t").startswith("["), F.col("_t").endswith("]")).otherwise(F.lit(True)))
+    j = F.col("_j")
+    s3 = s2.select(*keep, (j.isNotNull() & closed).alias("_valid"),
+                   _vtype(j).alias("_root"),
+                   F.map_keys(F.try_variant_get(j, "$", "map<string,variant>")).alias("_keys"),
+                   *[_vtype(_field(j, k)).alias(f"_ty_{k}") for k in (*_REQUIRED, "key_topics")],
+                   *[F.try_variant_get(j, f"$.{k}", "string").alias(f"_s_{k}")
+                     for k in (*_REQUIRED, "summary", "key_topics")],
+                   F.try_variant_get(j, "$.key_topics", "array<string>").alias("_topics_arr"))
 
     def has(k):
-        return F.coalesce(F.array_contains(keys, k), F.lit(False))
+        return F.coalesce(F.array_contains(F.col("_keys"), k), F.lit(False))
 
     def scalar(k):
-        ty = _vtype(_field(j, k))
+        ty = F.col(f"_ty_{k}")
         return has(k) & ~ty.startswith("OBJECT") & ~ty.startswith("ARRAY")
 
-    topics_t = _vtype(_field(j, "key_topics"))
-    topics_arr = F.try_variant_get(j, "$.key_topics", "array<string>")
+    valid = F.col("_valid")
+    topics_t = F.col("_ty_key_topics")
+    topics_arr = F.col("_topics_arr")
     topics_ok = (~has("key_topics")
                  | (topics_t == "STRING")
                  | ((topics_t == "ARRAY<STRING>") & ~F.exists(topics_arr, lambda x: x.isNull()))
                  | (topics_t == "ARRAY<VOID>") & (F.size(topics_arr) == 0))
-    ok = (is_obj & has("department") & (_vtype(_field(j, "department")) == "STRING")
+    ok = (valid & F.col("_root").startswith("OBJECT") & has("department")
+          & (F.col("_ty_department") == "STRING")
           & scalar("intent") & scalar("sentiment") & scalar("urgency") & topics_ok)
-
-    def s(k):
-        return F.try_variant_get(j, f"$.{k}", "string")
-
+    s4 = s3.withColumn("_ok", ok)
+    ok = F.col("_ok")
     topics = (F.when(~has("key_topics"), F.array().cast("array<string>"))
-              .when(topics_t == "STRING", F.split(s("key_topics"), ""))
+              .when(topics_t == "STRING", F.split(F.col("_s_key_topics"), ""))
               .otherwise(topics_arr))
-    summary = F.when(has("summary"), s("summary")).otherwise(subject)
+    summary = F.when(has("summary"), F.col("_s_summary")).otherwise(F.col(subject))
     empty = F.array().cast("array<string>")
     outcome = (F.when(~valid, F.lit(OUTCOME_FALLBACK))
                .when(ok, F.lit(OUTCOME_PARSED)).otherwise(F.lit(OUTCOME_FAILED)))
 
     def pick(k):
-        return (F.when(~valid, F.lit(FALLBACK[k])).when(ok, s(k)).otherwise(F.lit(None).cast("string")))
+        return (F.when(~valid, F.lit(FALLBACK[k])).when(ok, F.col(f"_s_{k}"))
+                .otherwise(F.lit(None).cast("string")))
 
-    return F.struct(
-        outcome.alias("outcome"),
-        pick("intent").alias("intent"), pick("department").alias("department"),
-        pick("sentiment").alias("sentiment"), pick("urgency").alias("urgency"),
-        F.when(~valid, subject).when(ok, summary).otherwise(F.lit(None).cast("string")).alias("summary"),
+    return s4.select(
+        *keep, outcome.alias("outcome"),
+        *[pick(k).alias(k) for k in _REQUIRED],
+        F.when(~valid, F.col(subject)).when(ok, summary).otherwise(F.lit(None).cast("string")).alias("summary"),
         F.when(~valid, empty).when(ok, topics).otherwise(F.lit(None).cast("array<string>")).alias("topics"))
 
 
@@ -103,9 +118,9 @@ def parse_responses(responses: DataFrame, emails: DataFrame) -> DataFrame:
     """responses(email_id, response_text) joined to the message subject
     (used by the fallback) -> one parsed row per response."""
     e = emails.select(F.col("id").alias("email_id"), "subject")
-    p = responses.join(e, "email_id", "left")
-    return p.select("email_id", parse_response_columns(F.col("response_text"), F.col("subject")).alias("c")
-                    ).select("email_id", "c.*")
+    p = responses.select("email_id", "response_text").join(e, "email_id", "left")
+    return parse_response_frame(p).select(
+        "email_id", "outcome", *_REQUIRED, "summary", "topics")
 
 
 # ------------------------------------------------------------ M3 departments

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import py_split_words, py_strip, tokens
+from ..plans.sizing import fanout_partitions
 
 # Fixed values of the chunker.
 CHUNK_WORDS = 800
@@ -164,5 +165,6 @@ def kb_index(chunks: DataFrame) -> DataFrame:
     partition. Partitioning by the full chunk key (not the upload) keeps one
     huge upload from landing in one task.
     """
-    parted = chunks.select(*CHUNK_KEY, "content").repartition(*CHUNK_KEY)
+    n = fanout_partitions(chunks.sparkSession)
+    parted = chunks.select(*CHUNK_KEY, "content").repartition(n, *CHUNK_KEY)
     return term_vectors(parted, CHUNK_KEY, "content")

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import BROADCAST_ROWS, rows_at_most
+from ..plans.sizing import BROADCAST_ROWS, fanout_partitions, measured
 from .knowledge import CHUNK_KEY, term_vectors
 
 TOP_K = 3                 # fixed: passages per message
@@ -62,22 +62,27 @@ def _pair_scores(q: DataFrame, d: DataFrame, qkeys: list[str], dkeys: list[str],
 def cosine_scores(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str],
                   strategy: str = "auto") -> DataFrame:
     """All pairs with a shared token: (qkeys, dkeys, dot, score)."""
-    strategy = _choose(qterms, dterms, strategy)
+    strategy, qterms, dterms = _choose(qterms, dterms, strategy)
     if strategy == "broadcast_docs":
-        return _pair_scores(qterms.repartition(*qkeys), dterms, qkeys, dkeys, stream_is_docs=False)
+        n = fanout_partitions(qterms.sparkSession)
+        return _pair_scores(qterms.repartition(n, *qkeys), dterms, qkeys, dkeys, stream_is_docs=False)
     if strategy == "broadcast_queries":
         return _pair_scores(qterms, dterms, qkeys, dkeys, stream_is_docs=True)
     return _bucketed(qterms, dterms, qkeys, dkeys, lambda s: s)
 
 
-def _choose(qterms: DataFrame, dterms: DataFrame, strategy: str) -> str:
+def _choose(qterms: DataFrame, dterms: DataFrame, strategy: str):
+    """Pick the plan from measured sizes. Each side that is measured is
+    persisted first, so the join reads the rows the check counted."""
     if strategy != "auto":
-        return strategy
-    if rows_at_most(dterms, BROADCAST_ROWS // 4) is not None:
-        return "broadcast_docs"
-    if rows_at_most(qterms, BROADCAST_ROWS) is not None:
-        return "broadcast_queries"
-    return "buckets"
+        return strategy, qterms, dterms
+    dterms, n = measured(dterms, BROADCAST_ROWS // 4)
+    if n is not None:
+        return "broadcast_docs", qterms, dterms
+    qterms, n = measured(qterms, BROADCAST_ROWS)
+    if n is not None:
+        return "broadcast_queries", qterms, dterms
+    return "buckets", qterms, dterms
 
 
 def _bucketed(qterms, dterms, qkeys, dkeys, finish):
@@ -105,24 +110,29 @@ def search(queries: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[
            text: str = "text", k: int = TOP_K, strategy: str = "auto") -> DataFrame:
     """queries(qkeys, text) x index(dkeys, tok, n, n2) -> top-k hits
     (qkeys, rank, dkeys, score)."""
-    qterms = term_vectors(queries, qkeys, text)
-    strategy = _choose(qterms, dterms, strategy)
+    # Partition the queries once by key: the term count, the norm, the join,
+    # the pair sum and the top-k all run in these tasks (no further exchange).
+    n = fanout_partitions(queries.sparkSession)
+    qterms = term_vectors(queries.select(*qkeys, text).repartition(n, *qkeys), qkeys, text)
+    strategy, qterms, dterms = _choose(qterms, dterms, strategy)
     fin = lambda s: top_k(s, qkeys, dkeys, k)
     if strategy == "buckets":
         res = _bucketed(qterms, dterms, qkeys, dkeys, fin)
     else:
-        res = fin(cosine_scores(qterms, dterms, qkeys, dkeys, strategy))
+        stream_docs = strategy == "broadcast_queries"
+        res = fin(_pair_scores(qterms, dterms, qkeys, dkeys, stream_is_docs=stream_docs))
     return res.select(*qkeys, "rank", *dkeys, "score")
 
 
 def with_chunk_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach name and the passage text to each hit. Hits are <= k per
-    query; they are broadcast after a size check so the chunk table is only
-    scanned, not shuffled."""
-    small = rows_at_most(hits, BROADCAST_ROWS) is not None
-    h = F.broadcast(hits) if small else hits
+    """Attach name and the passage text to each hit (<= k per query).
+
+    A plain equi-join: AQE measures the hits once they are materialised and
+    broadcasts them when small (a measured bound, not a guess); otherwise
+    both sides shuffle by chunk key. Only the first 500 characters of a
+    chunk travel."""
     c = chunks.select(*CHUNK_KEY, "name", F.substring("content", 1, CONTEXT_CHARS).alias("passage"))
-    return h.join(c, CHUNK_KEY, "left")
+    return hits.join(c, CHUNK_KEY, "left")
 
 
 def search_query(subject, intent, topics) -> F.Column:

@@ -99,7 +99,9 @@ DERIVED["file_chunks"] = chunk_sql(
 
 
 def _parsed(fx):
-    return C.parse_responses(fx.responses, fx.emails)
+    # persisted: later filters on ``outcome`` then read stored rows rather
+    # than inlining the JSON parse (see plans/triage.py)
+    return C.parse_responses(fx.responses, fx.emails).persist()
 
 
 # ------------------------------------------------------------------ parsing and routing

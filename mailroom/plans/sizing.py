@@ -6,6 +6,7 @@ explicit row bound; otherwise the caller gets the shuffle-based plan.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,21 @@ def maybe_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> tuple[DataFra
     if rows_at_most(df, bound) is not None:
         return F.broadcast(df), True
     return df, False
+
+
+def measured(df: DataFrame, bound: int) -> tuple[DataFrame, int | None]:
+    """Persist ``df`` (memory, spilling to disk) and count it up to
+    ``bound + 1`` rows. The plan that follows reads the same cached rows, so
+    the size check costs no second computation. A lost executor's blocks are
+    recomputed from lineage."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, rows_at_most(df, bound)
+
+
+def fanout_partitions(spark) -> int:
+    """Partition count for the streamed side of a join whose output is many
+    times its input (the token join). AQE sizes partitions by input bytes and
+    would coalesce a small side into one task; an explicit count is kept.
+    At least the shuffle setting, and at least two tasks per core."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,15 @@ class TriageResult:
 def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departments: DataFrame,
            auto_send_enabled: bool = True, simulate: bool = False, index: DataFrame | None = None,
            k: int = TOP_K) -> TriageResult:
+    # the chunk table feeds the index, the passages and the fallback context
+    chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
     msgs = emails.select("id", "message_id", "sender_name", "sender_email", "subject", "received_at",
                          select_body("text_body", "html_body").alias("body"))
-    parsed = C.parse_responses(responses, emails).withColumnRenamed("email_id", "id")
+    # Parsed responses are small per row and read by every branch below; they
+    # are persisted so that a filter on ``outcome`` reads stored rows instead
+    # of Catalyst inlining the whole JSON parse into each filter.
+    parsed = (C.parse_responses(responses, emails).withColumnRenamed("email_id", "id")
+              .persist(StorageLevel.MEMORY_AND_DISK))
     m = msgs.join(parsed, "id")
     live = F.col("outcome") != C.OUTCOME_FAILED
     m = m.withColumn("search_text", F.when(live, search_query(F.col("subject"), F.col("intent"),
