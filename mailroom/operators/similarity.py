@@ -5,10 +5,15 @@ counts (the 1/length factors of term frequency cancel in the cosine):
 
     score = sum_t qn(t) * dn(t) / (sqrt(sum qn^2) * sqrt(sum dn^2))
 
-Pairs that share no token score 0 and are never materialised: the plan is
-a token equi-join, never a cross product.
+Pairs that share no token score 0 and are never materialised: never a
+cross product.
 
-Physical plan (the part that matters at scale): document frequency is
+Default plan (``kernel``, see topk_kernel): the size-checked index is
+broadcast in a token-major layout and each query task scores its queries
+with numpy; an index above the bound is processed in hash shards whose
+per-query top-k are merged by a window.
+
+Pure DataFrame plans (``join``): a token equi-join and a per-pair sum. (the part that matters at scale): document frequency is
 extreme (stop-words are kept and there is no idf), so the number of joined
 (query, doc, token) rows grows with the product of the two sides. Those
 rows are never shuffled:
@@ -29,11 +34,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.sizing import BROADCAST_ROWS, fanout_partitions, measured
 from .knowledge import CHUNK_KEY, term_vectors
+from .topk_kernel import kernel_topk
 
 TOP_K = 3                 # fixed: passages per message
 CONTEXT_CHARS = 500       # fixed: characters of a passage kept as context
@@ -109,12 +116,21 @@ def top_k(scores: DataFrame, qkeys: list[str], dkeys: list[str], k: int = TOP_K)
 def search(queries: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str] = CHUNK_KEY,
            text: str = "text", k: int = TOP_K, strategy: str = "auto") -> DataFrame:
     """queries(qkeys, text) x index(dkeys, tok, n, n2) -> top-k hits
-    (qkeys, rank, dkeys, score)."""
-    # Partition the queries once by key: the term count, the norm, the join,
-    # the pair sum and the top-k all run in these tasks (no further exchange).
+    (qkeys, rank, dkeys, score).
+
+    ``auto``/``kernel``: the broadcast-postings kernel (see topk_kernel).
+    ``join``: the pure DataFrame plan, choosing among ``broadcast_docs``,
+    ``broadcast_queries`` and ``buckets`` by measured sizes (each also
+    selectable by name). Both give identical rows."""
+    # Partition the queries once by key: the term count, the norm, the
+    # scoring and the top-k all run in these tasks (no further exchange).
     n = fanout_partitions(queries.sparkSession)
     qterms = term_vectors(queries.select(*qkeys, text).repartition(n, *qkeys), qkeys, text)
-    strategy, qterms, dterms = _choose(qterms, dterms, strategy)
+    if strategy in ("auto", "kernel"):
+        dterms = dterms.persist(StorageLevel.MEMORY_AND_DISK)
+        res = kernel_topk(qterms, dterms, qkeys, dkeys, k, dterms.count())
+        return res.select(*qkeys, "rank", *dkeys, "score")
+    strategy, qterms, dterms = _choose(qterms, dterms, "auto" if strategy == "join" else strategy)
     fin = lambda s: top_k(s, qkeys, dkeys, k)
     if strategy == "buckets":
         res = _bucketed(qterms, dterms, qkeys, dkeys, fin)
