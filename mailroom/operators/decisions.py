@@ -64,8 +64,14 @@ def draft_as_of(approvals: DataFrame, regens: DataFrame, width: int) -> DataFram
 
 
 def apply_decisions(emails: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """-> (new message state, activity rows)."""
-    e = emails.select("id", "status", "ai_draft", "auto_sent")
+    """-> (new message state, activity rows).
+
+    When ``emails`` already carries ``final_reply``, ``replied_at`` and
+    ``human_edited`` (a state folded earlier, e.g. by the stream), messages
+    without a new approval keep those values."""
+    carried = [c for c in ("final_reply", "replied_at", "human_edited") if c in emails.columns]
+    prior = [F.col(c).alias(f"_prev_{c}") for c in carried]
+    e = emails.select("id", "status", "ai_draft", "auto_sent", *prior)
     known = decisions.join(e.select(F.col("id").alias("email_id")), "email_id", "left_semi")
     width = _seq_bucket_width(known)
     approvals = known.filter(F.col("action") == "approve")
@@ -89,13 +95,20 @@ def apply_decisions(emails: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     s = (e.join(st.withColumnRenamed("email_id", "id"), "id", "left")
          .join(rg.withColumnRenamed("email_id", "id"), "id", "left")
          .join(la.withColumnRenamed("email_id", "id"), "id", "left"))
+    def prev(c, default):
+        return F.col(f"_prev_{c}").cast("timestamp_ntz") if c == "replied_at" and c in carried else (
+            F.col(f"_prev_{c}") if c in carried else default)
+
     state = s.select(
         "id",
         F.coalesce("_status", "status").alias("status"),
         F.when(F.col("_draft_new").isNotNull(), F.col("_draft_new")).otherwise(F.col("ai_draft")).alias("ai_draft"),
-        F.col("_ap.final_reply").alias("final_reply"),
-        F.col("_ap.replied_at").cast("timestamp_ntz").alias("replied_at"),
-        F.coalesce(F.col("_ap.human_edited"), F.lit(0)).alias("human_edited"),
+        F.when(F.col("_ap").isNotNull(), F.col("_ap.final_reply"))
+        .otherwise(prev("final_reply", F.lit(None).cast("string"))).alias("final_reply"),
+        F.when(F.col("_ap").isNotNull(), F.col("_ap.replied_at").cast("timestamp_ntz"))
+        .otherwise(prev("replied_at", F.lit(None).cast("timestamp_ntz"))).alias("replied_at"),
+        F.when(F.col("_ap").isNotNull(), F.col("_ap.human_edited"))
+        .otherwise(F.coalesce(prev("human_edited", F.lit(0)), F.lit(0))).alias("human_edited"),
         F.when(F.col("_ap").isNotNull(), F.lit(0)).otherwise(F.col("auto_sent")).alias("auto_sent"))
 
     def act(df, action, details):

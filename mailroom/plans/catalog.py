@@ -218,3 +218,4 @@ def _kb_context(spark, d):
     return S.kb_context(_chunks(_fx(spark, d)))
 FLAGSHIP = "triage"
 from . import catalog_flow  # noqa: E402,F401  (registers the flow keys)
+from . import catalog_stream  # noqa: E402,F401  (registers the streaming keys)

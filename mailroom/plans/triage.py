@@ -32,6 +32,12 @@ class TriageResult:
     context: DataFrame      # email_id, search_text, rag_context, n_hits
     reply_requests: DataFrame
     classify_requests: DataFrame
+    cached: tuple = ()
+
+    def release(self) -> None:
+        """Drop the per-run cached inputs (used between stream batches)."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departments: DataFrame,
@@ -101,7 +107,7 @@ def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departmen
         F.col("intent"), F.col("department"), F.col("sentiment"), F.col("urgency"), F.col("tone"),
         F.col("signature")).alias("prompt"))
     classify = classify_requests(emails, departments)
-    return TriageResult(state, activity, context, reply, classify)
+    return TriageResult(state, activity, context, reply, classify, (parsed,))
 
 
 def classify_requests(emails: DataFrame, departments: DataFrame) -> DataFrame:
