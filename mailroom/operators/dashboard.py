@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_INTENTS = 8          # fixed: intents shown on the dashboard
@@ -92,52 +92,56 @@ def recent_activity(activity: DataFrame, emails: DataFrame, n: int = RECENT_ACTI
 def dashboard_stats(emails: DataFrame, kb: DataFrame, as_of) -> DataFrame:
     """Every dashboard number as tidy rows ``(metric, key, value)``.
 
-    One scan of the message table computes all grouped counts and the global
-    scalars via GROUPING SETS; the 7-day series and the KB count are two
-    further (small) aggregates. ``value`` is a double so the union is typed.
+    One scan of the message table: GROUPING SETS over status, department,
+    intent, sentiment, urgency, the day (NULL outside the 7-day window) and
+    the grand total, with all counters as conditional aggregates. Each
+    grouped row is exploded into its metric rows in one projection (no
+    per-metric filter, which Catalyst would push below the aggregate and so
+    plan one scan per metric); a window over the few grouped rows keeps the
+    top intents. The KB count is the only other (small) scan.
     """
-    grouped = (emails
-               .withColumn("_ok", F.when(F.col("confidence_score") > 0, F.col("confidence_score")))
-               .groupingSets(
-                   [["status"], ["department"], ["intent"], ["sentiment"], ["urgency"], []],
-                   "status", "department", "intent", "sentiment", "urgency")
+    since = _ts_literal(as_of) - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")
+    dims = ["status", "department", "intent", "sentiment", "urgency", "_day"]
+    e = (emails.select("status", "department", "intent", "sentiment", "urgency", "auto_sent",
+                       F.when(F.col("confidence_score") > 0, F.col("confidence_score")).alias("_ok"),
+                       F.when(F.col("received_at") > since, F.to_date("received_at").cast("string")).alias("_day")))
+    grouped = (e.groupingSets([[d] for d in dims] + [[]], *dims)
                .agg(F.grouping_id().alias("gid"),
                     F.count(F.lit(1)).alias("n"),
                     F.count_if(F.col("auto_sent") == 1).alias("n_auto"),
                     F.count_if(F.col("status") == "pending_approval").alias("n_pending"),
                     F.avg("_ok").alias("avg_ok")))
-    # grouping_id bit order: status, department, intent, sentiment, urgency
-    dims = [("by_status", "status", 15), ("by_department", "department", 23),
-            ("by_intent", "intent", 27), ("by_sentiment", "sentiment", 29),
-            ("by_urgency", "urgency", 30)]
-    parts = []
-    for metric, column, gid in dims:
-        g = grouped.filter(F.col("gid") == gid)
-        if metric != "by_status":
-            g = g.filter(F.col(column).isNotNull())
-        if metric == "by_intent":
-            g = g.orderBy(F.col("n").desc(), F.col(column).asc()).limit(TOP_INTENTS)
-        parts.append(g.select(F.lit(metric).alias("metric"), F.col(column).alias("key"),
-                              F.col("n").cast("double").alias("value")))
-    tot = grouped.filter(F.col("gid") == 31)
-    scalars = tot.select(F.explode(F.array(
-        F.struct(F.lit("total_emails").alias("metric"), F.col("n").cast("double").alias("value")),
-        F.struct(F.lit("auto_sent").alias("metric"), F.col("n_auto").cast("double").alias("value")),
-        F.struct(F.lit("auto_send_rate").alias("metric"),
-                 F.round(F.col("n_auto").cast("double") / F.greatest(F.col("n"), F.lit(1)) * 100.0, 1)
-                 .alias("value")),
-        F.struct(F.lit("pending_approval").alias("metric"), F.col("n_pending").cast("double").alias("value")),
-        F.struct(F.lit("avg_confidence").alias("metric"),
-                 F.round(F.coalesce(F.col("avg_ok"), F.lit(0.0)) * 100.0, 1).alias("value")),
-    )).alias("s")).select(F.col("s.metric").alias("metric"), F.lit(None).cast("string").alias("key"),
-                          F.col("s.value").alias("value"))
-    daily = daily_volume(emails, as_of).select(
-        F.lit("daily_volume").alias("metric"), F.col("day").cast("string").alias("key"),
-        F.col("c").cast("double").alias("value"))
+    # grouping_id: one bit per dimension, the first dimension most significant
+    full = (1 << len(dims)) - 1
+    gid_of = {d: full ^ (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}
+    names = {"status": "by_status", "department": "by_department", "intent": "by_intent",
+             "sentiment": "by_sentiment", "urgency": "by_urgency", "_day": "daily_volume"}
+    gid = F.col("gid")
+    metric, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d in dims:
+        metric = F.when(gid == gid_of[d], F.lit(names[d])).otherwise(metric)
+        key = F.when(gid == gid_of[d], F.col(d)).otherwise(key)
+
+    def row(m, k, v):
+        return F.struct(m.alias("metric"), k.alias("key"), v.cast("double").alias("value"))
+
+    none = F.lit(None).cast("string")
+    scalars = F.array(
+        row(F.lit("total_emails"), none, F.col("n")),
+        row(F.lit("auto_sent"), none, F.col("n_auto")),
+        row(F.lit("auto_send_rate"), none,
+            F.round(F.col("n_auto").cast("double") / F.greatest(F.col("n"), F.lit(1)) * 100.0, 1)),
+        row(F.lit("pending_approval"), none, F.col("n_pending")),
+        row(F.lit("avg_confidence"), none, F.round(F.coalesce(F.col("avg_ok"), F.lit(0.0)) * 100.0, 1)))
+    rows = (grouped.select("gid", F.explode(F.when(gid == full, scalars)
+                                            .otherwise(F.array(row(metric, key, F.col("n"))))).alias("r"))
+            .select("gid", "r.*")
+            .filter((gid == full) | (gid == gid_of["status"]) | F.col("key").isNotNull()))
+    w = Window.partitionBy("gid").orderBy(F.col("value").desc(), F.col("key").asc())
+    rows = (rows.withColumn("_rn", F.row_number().over(w))
+            .filter((gid != gid_of["intent"]) | (F.col("_rn") <= TOP_INTENTS))
+            .select("metric", "key", "value"))
     kbc = kb_doc_count(kb).select(F.lit("kb_documents").alias("metric"),
                                   F.lit(None).cast("string").alias("key"),
                                   F.col("kb_documents").cast("double").alias("value"))
-    out = scalars
-    for p in parts + [daily, kbc]:
-        out = out.unionByName(p)
-    return out
+    return rows.unionByName(kbc)
