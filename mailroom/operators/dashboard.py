@@ -145,3 +145,14 @@ def dashboard_stats(emails: DataFrame, kb: DataFrame, as_of) -> DataFrame:
                                   F.lit(None).cast("string").alias("key"),
                                   F.col("kb_documents").cast("double").alias("value"))
     return rows.unionByName(kbc)
+
+
+def status_filters(emails: DataFrame) -> DataFrame:
+    """The dashboard's row predicates, each counted once in one pass:
+    auto-sent, pending approval, scored (confidence > 0), and the non-null
+    class columns."""
+    return emails.agg(
+        F.count_if(F.col("auto_sent") == 1).alias("auto_sent"),
+        F.count_if(F.col("status") == "pending_approval").alias("pending_approval"),
+        F.count_if(F.col("confidence_score") > 0).alias("scored"),
+        *[F.count(c).alias(f"with_{c}") for c in ("department", "intent", "sentiment", "urgency")])

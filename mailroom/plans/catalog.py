@@ -74,6 +74,11 @@ WHERE received_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1""")(
 register("recent_window", f"""
 SELECT id, received_at FROM emails WHERE received_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""")(
     lambda spark, d: A.recent_window(_fx(spark, d).emails, AS_OF).select("id", "received_at"))
+register("status_filters", """
+SELECT count_if(auto_sent = 1) AS auto_sent, count_if(status = 'pending_approval') AS pending_approval,
+ count_if(confidence_score > 0) AS scored, count(department) AS with_department, count(intent) AS with_intent,
+ count(sentiment) AS with_sentiment, count(urgency) AS with_urgency FROM emails""")(
+    lambda spark, d: A.status_filters(_fx(spark, d).emails))
 register("kb_doc_count", "SELECT count(DISTINCT name) AS kb_documents FROM kb_chunks")(
     lambda spark, d: A.kb_doc_count(_chunks(_fx(spark, d))))
 
