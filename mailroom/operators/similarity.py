@@ -114,7 +114,7 @@ def top_k(scores: DataFrame, qkeys: list[str], dkeys: list[str], k: int = TOP_K)
 
 
 def search(queries: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str] = CHUNK_KEY,
-           text: str = "text", k: int = TOP_K, strategy: str = "auto") -> DataFrame:
+           text: str = "text", k: int = TOP_K, strategy: str = "auto", pinned=None) -> DataFrame:
     """queries(qkeys, text) x index(dkeys, tok, n, n2) -> top-k hits
     (qkeys, rank, dkeys, score).
 
@@ -127,8 +127,10 @@ def search(queries: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[
     n = fanout_partitions(queries.sparkSession)
     qterms = term_vectors(queries.select(*qkeys, text).repartition(n, *qkeys), qkeys, text)
     if strategy in ("auto", "kernel"):
-        dterms = dterms.persist(StorageLevel.MEMORY_AND_DISK)
-        res = kernel_topk(qterms, dterms, qkeys, dkeys, k, dterms.count())
+        if pinned is None:
+            dterms = dterms.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = 0 if pinned is not None else dterms.count()
+        res = kernel_topk(qterms, dterms, qkeys, dkeys, k, rows, pinned=pinned)
         return res.select(*qkeys, "rank", *dkeys, "score")
     strategy, qterms, dterms = _choose(qterms, dterms, "auto" if strategy == "join" else strategy)
     fin = lambda s: top_k(s, qkeys, dkeys, k)

@@ -133,10 +133,20 @@ def _packed_queries(qterms: DataFrame, qkeys: list[str]) -> DataFrame:
         F.max("n2").cast("double").alias("_q2"))
 
 
+def pin_index(dterms: DataFrame, dkeys: list[str], bound: int = BROADCAST_ROWS):
+    """Build and broadcast the index once, for callers that score many
+    batches against a knowledge base that does not change meanwhile (a
+    stream). None when the index needs shards."""
+    if rows_at_most(dterms, bound) is None:
+        return None
+    return dterms.sparkSession.sparkContext.broadcast(build_index(dterms, dkeys))
+
+
 def kernel_topk(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str],
-                k: int, index_rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
+                k: int, index_rows: int, bound: int = BROADCAST_ROWS, pinned=None) -> DataFrame:
     """Top-k hits (qkeys, rank, dkeys, score) for query terms partitioned by
-    qkeys against a term table of ``index_rows`` rows (already counted)."""
+    qkeys against a term table of ``index_rows`` rows (already counted).
+    ``pinned``: a broadcast from ``pin_index`` to reuse instead of building."""
     spark = qterms.sparkSession
     packed = _packed_queries(qterms, qkeys)
     qfields = [qterms.schema[c] for c in qkeys]
@@ -157,7 +167,8 @@ def kernel_topk(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: l
             F.pmod(F.xxhash64(*dkeys), F.lit(shards)) == s)
         if shards > 1 and rows_at_most(piece, bound) is None:
             raise ValueError(f"index shard {s} exceeds {bound} rows")
-        bc = spark.sparkContext.broadcast(build_index(piece, dkeys))
+        bc = pinned if (pinned is not None and shards == 1) else \
+            spark.sparkContext.broadcast(build_index(piece, dkeys))
         parts.append(packed.mapInPandas(_kernel(bc, qkeys, dkeys, k), schema))
     if shards == 1:
         return parts[0]

@@ -42,7 +42,7 @@ class TriageResult:
 
 def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departments: DataFrame,
            auto_send_enabled: bool = True, simulate: bool = False, index: DataFrame | None = None,
-           k: int = TOP_K) -> TriageResult:
+           k: int = TOP_K, pinned=None) -> TriageResult:
     # the chunk table feeds the index, the passages and the fallback context
     chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
     msgs = emails.select("id", "message_id", "sender_name", "sender_email", "subject", "received_at",
@@ -61,7 +61,8 @@ def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departmen
     queries = (m.filter(F.col("search_text").isNotNull())
                .groupBy("search_text").agg(F.min("id").alias("q_id")))
     idx = index if index is not None else kb_index(chunks)
-    hits = search(queries.select("q_id", F.col("search_text").alias("text")), idx, ["q_id"], k=k)
+    hits = search(queries.select("q_id", F.col("search_text").alias("text")), idx, ["q_id"], k=k,
+                  pinned=pinned)
     ctx = rag_context(with_chunk_text(hits, chunks), ["q_id"])
     per_text = queries.join(ctx, "q_id", "left").drop("q_id")
     kbctx = F.substring(kb_context(chunks).scalar(), 1, FALLBACK_CHARS)
