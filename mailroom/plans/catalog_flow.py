@@ -98,10 +98,11 @@ DERIVED["file_chunks"] = chunk_sql(
     f"(SELECT * FROM file_uploads WHERE regexp_replace(content, '{_WS}', '', 'g') <> '')")
 
 
-def _parsed(fx):
-    # persisted: later filters on ``outcome`` then read stored rows rather
-    # than inlining the JSON parse (see plans/triage.py)
-    return C.parse_responses(fx.responses, fx.emails).persist()
+def _parsed(fx, filtered: bool = True):
+    # persisted when a filter on ``outcome`` follows: it then reads stored
+    # rows rather than inlining the JSON parse (see plans/triage.py)
+    p = C.parse_responses(fx.responses, fx.emails)
+    return p.persist() if filtered else p
 
 
 # ------------------------------------------------------------------ parsing and routing
@@ -110,7 +111,7 @@ def _parsed(fx):
 SELECT email_id, outcome, intent, department, sentiment, urgency, summary,
  array_to_string(topics, ' ') AS topics, CAST(len(topics) AS BIGINT) AS n_topics FROM classified""")
 def _parse_responses(spark, d):
-    p = _parsed(_fx(spark, d))
+    p = _parsed(_fx(spark, d), filtered=False)
     return p.select("email_id", "outcome", "intent", "department", "sentiment", "urgency", "summary",
                     F.array_join("topics", " ").alias("topics"),
                     F.when(F.col("topics").isNotNull(), F.size("topics")).cast("bigint").alias("n_topics"))
