@@ -267,6 +267,7 @@ def _insert_or_ignore(spark, d):
 
 @register("ingest_rfc822", """
 SELECT id, message_id, ltrim(sender_name || ' <' || sender_email || '>') AS sender_raw,
+ sender_name, sender_email,
  'Ticket ' || CAST(event_id AS VARCHAR) AS subject,
  CASE WHEN event_id % 2 = 0 THEN text_body ELSE '' END AS text_body,
  CASE WHEN event_id % 2 = 1 THEN text_body ELSE '' END AS html_body
