@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import decontaminate, jaccard_join, line_dedup, mixing, toxicity
 from .util import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,40 @@ def query(name: str, sql: str | None = None):
         return f
     return register
 
+@query("op1_benchmark_decontamination", f"""
+WITH {SHINGLES.format(name="d", id="doc_id", table="documents")}, {SHINGLES.format(name="i", id="item_id", table="benchmark")},
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*)::DOUBLE / any_value(n_item) AS containment
+FROM d JOIN i USING (g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*)::DOUBLE / any_value(n_item) >= 0.8::DOUBLE""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's shingles."""
+    ready(spark)
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_mix_to_targets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document by a mix of all documents."""
+    ready(spark)
+    got = mixing.allot(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).cast("long").alias("taken"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a model trained on its labels."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line chunks that the corpus repeats."""
+    ready(spark)
+    got = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "text", "n_chars", "n_removed")
+
 
 @query("op10_ngram_jaccard_join", f"""
 WITH RECURSIVE {SHINGLES.format(name="s", id="doc_id", table="documents")},
