@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, toxicity
+from . import decontaminate, jaccard_join, line_dedup, mixing, topk_search, toxicity
 from .util import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
+@query("op3_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every row whose vec_id is divisible by 100."""
+    ready(spark)
+    v = table(spark, sf_dir, "embeddings")
+    return topk_search.search(v, v.where("vec_id % 100 = 0"), 10)
+
 
 @query("op4_mix_to_targets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
