@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, topk_search, toxicity
+from . import decontaminate, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity
 from .util import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, told from examples by who else holds them."""
+    ready(spark)
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op3_exact_topk", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
