@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity
+from . import decontaminate, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity, warc
+from ..session import scratch_path
 from .util import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).cast("long").alias("taken"))
 
 
+@query("op6_warc_archive", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, read back from a WARC archive of all pages: responses from
+    their payloads, revisits from headers alone."""
+    ready(spark)
+    path = scratch_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    whole = warc.read(spark, path, payload=True).where("record_type = 'response'")
+    whole = whole.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    again = warc.read(spark, path).where("record_type = 'revisit'").withColumn("payload_bytes", F.col("payload_length"))
+    return whole.select(cols).unionByName(again.select(cols))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, by a model trained on its labels."""
