@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity, warc
+from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity, warc
 from ..session import scratch_path
 from .util import ready, table
 
@@ -91,6 +91,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(cols).unionByName(again.select(cols))
 
 
+@query("op7_chat_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, read back from its examples."""
+    ready(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-1, n, r, "</s>[INST] ok [/INST]") for n, r in enumerate(("user", "assistant"))],
+                                 "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.examples(turns.unionByName(hard)))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, by a model trained on its labels."""
