@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity, warc
+from . import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity, warc
 from ..session import scratch_path
 from .util import ready, table
 
@@ -71,6 +71,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).cast("long").alias("taken"))
 
 
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    ready(spark)
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_warc_archive", """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
