@@ -9,8 +9,8 @@ by one space. Nothing else is dropped or cut.
 Model
   The nodes are a page's elements (plain inline ones belong to the element around
   them); each has a hidden label, main text or frame. A node's own potential is
-  linear in features of its tag, the words in its class, id and role, and the
-  length, punctuation and link share of its own text. A potential for each pair of
+  linear in features of its tag, its parent's tag, the words in its class, id and
+  role, and the length, punctuation and link share of its own text. A potential for each pair of
   parent and child, by kind of child, ties labels along the tree. *Sum-product*
   message passing, upward from the leaves and then downward from the root, gives
   the exact marginals; text whose element is main text with probability of at
@@ -59,8 +59,12 @@ _CLOSES = {t: ("p",) for t in _BLOCKS} | {
 _STOPS = frozenset("ul ol dl table select article section div main aside nav form header footer body html blockquote".split())
 TAGS = ("html body head title article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody tr td th figure figcaption "
         "nav aside header footer form label button select option details summary a span address").split()
-# Kinds of children with a pair potential of their own: parts of a page, and blocks of text.
-_PARTS = frozenset("article main section div nav aside header footer form body details".split())
+# Kinds of children with a pair potential of their own: parts of a page, frames
+# by their tag, parts of lists and tables, blocks of text.
+_KINDS = {t: k for k, tags in enumerate(("article main section div body", "nav aside header footer form label button select details",
+                                         "li dt dd tr td th tbody option ul ol dl table")) for t in tags.split()}
+_OUTER = frozenset(["#root", "html", "body"])  # and each kind anew below these
+_N_KINDS = 8
 
 
 @dataclass
@@ -148,7 +152,7 @@ def _attributes(text: str) -> tuple[list[str], int | None]:
         if k.lower() == "data-y":
             mark = int(v)
         else:
-            names += [w.lower() for w in _NAME.findall(v)]
+            names += [w.lower() for w in _NAME.findall(v)] + [w.lower() for w in v.split() if "-" in w or "_" in w]
     return names, mark
 
 
@@ -219,9 +223,9 @@ class Forest:
             for i, (up, tag, names, own) in enumerate(zip(p.parent, p.tag, p.names, _text_features(p), strict=True)):
                 parent.append(start + up if up >= 0 else -1)
                 d.append(d[up] + 1 if up >= 0 else 0)
-                kind.append(0 if tag in _PARTS else 1)
+                kind.append(_KINDS.get(tag, 3) + 4 * (up >= 0 and p.tag[up] in _OUTER))
                 f = [_TAG.get(tag, _N_TAGS - 1)] + [_N_TAGS + k for k in own]
-                f += [base + vocabulary[w] for w in set(names) if w in vocabulary]
+                f += [base + vocabulary[w] for w in {*names, f"{tag}<{p.tag[up]}" if up >= 0 else tag} if w in vocabulary]
                 feats.append(f)
             depth += d
             begin.append(start + len(p.parent))
@@ -279,32 +283,32 @@ def labels_of(page: Page) -> np.ndarray:
     return np.array(out)
 
 
-def train(htmls: list[str], steps: int = 250, rate: float = 0.25, ridge: float = 1e-3) -> Model:
+def train(htmls: list[str], steps: int = 250, rate: float = 0.25, ridge: float = 1e-4) -> Model:
     """Maximise the labels' likelihood (Adam on the exact gradient)."""
     pages = [parse(h) for h in htmls]
     seen: dict[str, int] = {}
     for p in pages:
-        for names in p.names:
-            for w in names:
+        for up, tag, names in zip(p.parent, p.tag, p.names, strict=True):
+            for w in {*names, f"{tag}<{p.tag[up]}" if up >= 0 else tag}:
                 seen[w] = seen.get(w, 0) + 1
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c > 2))}
     forest = Forest(pages, vocabulary)
     y = np.concatenate([labels_of(p) for p in pages])
     child = np.nonzero(forest.parent >= 0)[0]
     size = _N_TAGS + _N_TEXT + len(vocabulary)
-    theta = np.zeros(size + 8)
+    theta = np.zeros(size + 4 * _N_KINDS)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    have = np.zeros((2, 2, 2))
+    have = np.zeros((_N_KINDS, 2, 2))
     np.add.at(have, (forest.kind[child], y[forest.parent[child]], y[child]), 1)
     for step in range(1, steps + 1):
-        weight, pair = theta[:size], theta[size:].reshape(2, 2, 2)
+        weight, pair = theta[:size], theta[size:].reshape(_N_KINDS, 2, 2)
         p, joint = forest.marginals(weight, pair)
-        expected = np.stack([joint[child[forest.kind[child] == k]].sum(0) for k in (0, 1)])
+        expected = np.stack([joint[child[forest.kind[child] == k]].sum(0) for k in range(_N_KINDS)])
         g = np.concatenate([np.bincount(forest.flat, weights=(y - p)[forest.owner], minlength=size), (have - expected).ravel()])
         g = g / len(pages) - ridge * theta
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         theta = theta + rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8) / (1 + step / 100)
-    return Model(vocabulary, theta[:size], theta[size:].reshape(2, 2, 2))
+    return Model(vocabulary, theta[:size], theta[size:].reshape(_N_KINDS, 2, 2))
 
 
 _TRAINED: dict[int, Model] = {}
