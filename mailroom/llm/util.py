@@ -18,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Rows that Python workers get at a time: texts are long, memory is not.
+ARROW_ROWS = 1000
+
+
 def ready(spark: SparkSession) -> None:
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ WORDS = re.compile(r"\w+").findall
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 # Words remembered by one Python worker; beyond it the table starts anew.
-_REMEMBER = 400_000
+_REMEMBER = 200_000
 
 
 class _WordHash(dict):
