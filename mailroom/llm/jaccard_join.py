@@ -272,7 +272,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     # one text of each representative in a group: the row with the smallest doc_id
     members = reps.join(groups, "rep").select("rep", "class", "digest", "n_copies", "component")
     size = members.groupBy("component").agg(F.count("*").alias("n"))
-    texts = _texts(docs, members)
+    texts = _texts(docs, members, rows)
     cut = _blocked(texts, "component", size, max(2, block // 4))
     run, schema = _verify(threshold)
     found = stored(cut.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "rep")
@@ -291,24 +291,40 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
                       F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
-def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
     """``members`` with the text of each, found by its smallest doc_id (by its
-    digest, if all its rows have a null doc_id); the digest tells which of
-    several rows with that doc_id is meant."""
+    digest, if all its rows have a null doc_id). Only where doc_ids repeat, the
+    digest has to tell which of the rows is meant."""
     t = docs.select("doc_id", "text")
-    named = t.join(members.where("class is not null").withColumnRenamed("class", "doc_id"), "doc_id")
-    named = named.where(_digest_of("text") == F.col("digest"))
-    other = t.where("doc_id is null").withColumn("digest", _digest_of("text")).join(members.where("class is null"), "digest")
     cols = ["rep", "n_copies", "component", "text"]
-    return named.select(cols).union(other.select(cols)).dropDuplicates(["rep"])
+    named = t.join(members.where("class is not null").withColumnRenamed("class", "doc_id"), "doc_id")
+    if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        named = _matching(named.select(*cols, "digest")).dropDuplicates(["rep"])
+    unnamed = members.where("class is null")
+    if unnamed.isEmpty():
+        return named.select(cols)
+    other = t.where("doc_id is null").select("text").mapInArrow(_digests, "digest binary, text string").join(unnamed, "digest").dropDuplicates(["rep"])
+    return named.select(cols).union(other.select(cols))
+
+
+def _digest(text: str | None) -> bytes | None:
+    s = words.shingle_set(text)
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _digest_of(col: str):
-    @F.pandas_udf("binary")
-    def digest(texts):
-        return texts.map(lambda t: None if len(s := words.shingle_set(t)) == 0 else
-                         hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-    return digest(F.col(col))
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        d = [_digest(t.as_py()) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), b.column("text")], names=["digest", "text"])
+
+
+def _matching(named: DataFrame) -> DataFrame:
+    """Rows whose text has the digest they were joined for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [_digest(t.as_py()) == d for t, d in zip(b.column("text"), b.column("digest").to_pylist(), strict=True)]
+            yield b.filter(pa.array(same, pa.bool_()))
+    return named.mapInArrow(run, named.schema)
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
