@@ -154,7 +154,7 @@ def _survivors(part: np.ndarray, rest: np.ndarray, lot: np.ndarray, names: np.nd
     score = np.zeros((len(lot), len(alive)), part.dtype)
     for d in range(0, dims, DIMS):
         score += lot[:, d:d + DIMS] @ part[d:d + DIMS]
-        if d + DIMS >= dims:
+        if d + DIMS >= dims or len(alive) == 0:
             break
         # remaining mass; one more than rounding can cost
         slack = q_rest[:, d + DIMS, None] * rest[d + DIMS][alive][None, :] * (1 + 1e-9) + 1

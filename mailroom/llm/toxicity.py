@@ -52,6 +52,7 @@ WINDOW = 5
 SAMPLE = 2500
 WORDS_EACH = 400
 THRESHOLD = 0.3
+LOT = 384
 _GRAMS = (3, 4, 5)
 _REMEMBER = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +160,7 @@ class Model:
             return 1 / (1 + np.exp(-(self.slope * self.evidence(texts) + self.shift)))
 
 
-def train(texts: list[str | None], toxic: list[int], rounds: int = 4, epochs: int = 2, seed: int = 7) -> Model:
+def train(texts: list[str | None], toxic: list[int], rounds: int = 4, steps: int = 700, seed: int = 7) -> Model:
     """Fit on whole labelled texts, held in memory (bounded by the caller)."""
     rng = np.random.default_rng(seed)
     y_doc = np.array(toxic, np.int64)
@@ -199,12 +200,13 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 4, epochs: in
 
     for r in range(rounds):
         lr = 0.4 if r == 0 else 0.25
-        for _ in range(epochs):
-            pool = np.nonzero(use)[0]
+        pool = np.nonzero(use)[0]
+        lots = max(1, len(pool) // LOT)
+        for _ in range(-(-steps // lots)):  # whole passes, ``steps`` lots at least
             # both labels carry the same total weight
             share = target[pool].mean()
             importance = np.where(target > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
-            for lot in np.array_split(rng.permutation(pool), max(1, len(pool) // 512)):
+            for lot in np.array_split(rng.permutation(pool), lots):
                 f, k = members(lot)
                 n = np.bincount(k, minlength=len(lot))
                 mean = np.zeros((len(lot), DIM))
