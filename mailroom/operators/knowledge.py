@@ -7,10 +7,8 @@ derived from it, so deleted chunks can never be returned by search.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import py_split_words, py_strip, tokens
 from ..plans.sizing import fanout_partitions
@@ -28,12 +26,6 @@ FILE_TYPES = {"txt": "text/plain", "html": "text/html", "htm": "text/html",
 CHUNK_KEY = ["upload_id", "chunk_index"]
 
 
-@F.pandas_udf(T.StringType())
-def decode_utf8_replace(b: pd.Series) -> pd.Series:
-    """UTF-8 decode with U+FFFD for bad bytes (Arrow-batched per-row codec)."""
-    return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", errors="replace"))
-
-
 def chunk(sources: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """kb_sources(upload_id, name, file_type, department, content, created_at)
     -> one row per chunk: ``size`` words starting every ``size - overlap``
@@ -70,8 +62,9 @@ def read_files(spark, path: str, glob: str | None = None) -> DataFrame:
 def kb_ingest_files(files: DataFrame, department: str = DEFAULT_DEPARTMENT):
     """(path, content binary[, upload_id, created_at]) -> (accepted, rejected).
 
-    Bytes are decoded as UTF-8 with replacement; a file whose text is only
-    whitespace is rejected (kept as a side output, never silently dropped).
+    Bytes are decoded as UTF-8 with replacement. Rejected, with a reason in a
+    side output: a PDF (by name or by its first bytes; its text needs an
+    extractor, and its bytes are no text), and a file of whitespace only.
     """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
@@ -83,9 +76,12 @@ def kb_ingest_files(files: DataFrame, department: str = DEFAULT_DEPARTMENT):
         name.alias("name"),
         F.coalesce(ftype, F.lit("application/octet-stream")).alias("file_type"),
         F.lit(department).alias("department"),
-        decode_utf8_replace(F.col("content")).alias("content"))
-    ok = py_strip(F.col("content")) != ""
-    return df.filter(ok), df.filter(~ok).withColumn("reason", F.lit("no text"))
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        (F.coalesce(ext == "pdf", F.lit(False)) | F.coalesce(F.substring("content", 1, 4) == F.lit(b"%PDF"), F.lit(False))).alias("_pdf"))
+    text = F.coalesce(py_strip(F.col("content")) != "", F.lit(False))
+    rejected = df.filter(F.col("_pdf") | ~text)
+    return (df.filter(~F.col("_pdf") & text).drop("_pdf"),
+            rejected.withColumn("reason", F.when(F.col("_pdf"), "pdf").otherwise("no text")).drop("_pdf"))
 
 
 def kb_ingest_text(rows: DataFrame):
@@ -165,6 +161,6 @@ def kb_index(chunks: DataFrame) -> DataFrame:
     partition. Partitioning by the full chunk key (not the upload) keeps one
     huge upload from landing in one task.
     """
-    n = fanout_partitions(chunks.sparkSession)
+    n = fanout_partitions(chunks)
     parted = chunks.select(*CHUNK_KEY, "content").repartition(n, *CHUNK_KEY)
     return term_vectors(parted, CHUNK_KEY, "content")

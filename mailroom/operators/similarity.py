@@ -5,42 +5,20 @@ counts (the 1/length factors of term frequency cancel in the cosine):
 
     score = sum_t qn(t) * dn(t) / (sqrt(sum qn^2) * sqrt(sum dn^2))
 
-Pairs that share no token score 0 and are never materialised: never a
-cross product.
-
-Default plan (``kernel``, see topk_kernel): the size-checked index is
-broadcast in a token-major layout and each query task scores its queries
-with numpy; an index above the bound is processed in hash shards whose
-per-query top-k are merged by a window.
-
-Pure DataFrame plans (``join``): a token equi-join and a per-pair sum. (the part that matters at scale): document frequency is
-extreme (stop-words are kept and there is no idf), so the number of joined
-(query, doc, token) rows grows with the product of the two sides. Those
-rows are never shuffled:
-
-* ``broadcast_queries`` -- postings are hash-partitioned by chunk key; the
-  query terms are broadcast; the per-pair sum runs in the same task as the
-  join (the partitioning already satisfies the aggregate's clustering), and
-  a partial WindowGroupLimit keeps <= k rows per query per task before the
-  only exchange.
-* ``broadcast_docs`` -- a small knowledge base is broadcast; queries are
-  partitioned by query key, so sum and top-k are both task-local.
-* ``buckets`` -- both sides too large: queries are split by a hash of their
-  key into buckets that each fit a broadcast, the index is checkpointed
-  once, and the per-bucket results (disjoint) are unioned.
+Pairs that share no token score 0 and are never made. Stop-words are kept and
+there is no idf, so pairs that share some token are nearly all pairs; they
+are scored inside tasks over document shards (``search``, see topk_kernel) and
+only a query's best leave them. ``cosine_scores`` scores given pairs.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sizing import BROADCAST_ROWS, fanout_partitions, measured
+from ..plans.sizing import fanout_partitions
 from .knowledge import CHUNK_KEY, term_vectors
-from .topk_kernel import kernel_topk
+from .topk_kernel import sharded_topk
 
 TOP_K = 3                 # fixed: passages per message
 CONTEXT_CHARS = 500       # fixed: characters of a passage kept as context
@@ -50,96 +28,28 @@ KB_CONTEXT_CHUNK_CHARS = 800  # fixed: characters per chunk in the KB context
 NO_KB_TEXT = "No company knowledge base documents uploaded yet."  # fixed text
 
 
-def _pair_scores(q: DataFrame, d: DataFrame, qkeys: list[str], dkeys: list[str],
-                 stream_is_docs: bool) -> DataFrame:
-    """Join on token and sum per pair. ``q``/``d`` carry (keys, tok, n, n2)."""
-    qq = q.select(*qkeys, "tok", F.col("n").alias("_qn"), F.col("n2").alias("_q2"))
-    dd = d.select(*dkeys, "tok", F.col("n").alias("_dn"), F.col("n2").alias("_d2"))
-    if stream_is_docs:
-        joined = dd.join(F.broadcast(qq), "tok")
-        group = [*dkeys, "_d2", *qkeys, "_q2"]
-    else:
-        joined = qq.join(F.broadcast(dd), "tok")
-        group = [*qkeys, "_q2", *dkeys, "_d2"]
-    agg = joined.groupBy(*group).agg(F.sum(F.col("_qn") * F.col("_dn")).alias("dot"))
+def cosine_scores(candidates: DataFrame, qterms: DataFrame, dterms: DataFrame, qkeys: list[str],
+                  dkeys: list[str]) -> DataFrame:
+    """(qkeys, dkeys, dot, score) of the given (qkeys, dkeys) pairs that share a
+    token. Each pair brings its query's terms to its document's: the rows are
+    bounded by the candidates and the lengths of their queries."""
+    q = qterms.select(*qkeys, "tok", F.col("n").alias("_qn"), F.col("n2").alias("_q2"))
+    d = dterms.select(*dkeys, "tok", F.col("n").alias("_dn"), F.col("n2").alias("_d2"))
+    both = candidates.select(*qkeys, *dkeys).distinct().join(q, qkeys).join(d, [*dkeys, "tok"])
+    agg = both.groupBy(*qkeys, *dkeys).agg(F.sum(F.col("_qn") * F.col("_dn")).alias("dot"),
+                                           F.first("_q2").alias("_q2"), F.first("_d2").alias("_d2"))
     score = F.col("dot") / (F.sqrt(F.col("_q2").cast("double")) * F.sqrt(F.col("_d2").cast("double")))
     return agg.select(*qkeys, *dkeys, "dot", score.alias("score"))
 
 
-def cosine_scores(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str],
-                  strategy: str = "auto") -> DataFrame:
-    """All pairs with a shared token: (qkeys, dkeys, dot, score)."""
-    strategy, qterms, dterms = _choose(qterms, dterms, strategy)
-    if strategy == "broadcast_docs":
-        n = fanout_partitions(qterms.sparkSession)
-        return _pair_scores(qterms.repartition(n, *qkeys), dterms, qkeys, dkeys, stream_is_docs=False)
-    if strategy == "broadcast_queries":
-        return _pair_scores(qterms, dterms, qkeys, dkeys, stream_is_docs=True)
-    return _bucketed(qterms, dterms, qkeys, dkeys, lambda s: s)
-
-
-def _choose(qterms: DataFrame, dterms: DataFrame, strategy: str):
-    """Pick the plan from measured sizes. Each side that is measured is
-    persisted first, so the join reads the rows the check counted."""
-    if strategy != "auto":
-        return strategy, qterms, dterms
-    dterms, n = measured(dterms, BROADCAST_ROWS // 4)
-    if n is not None:
-        return "broadcast_docs", qterms, dterms
-    qterms, n = measured(qterms, BROADCAST_ROWS)
-    if n is not None:
-        return "broadcast_queries", qterms, dterms
-    return "buckets", qterms, dterms
-
-
-def _bucketed(qterms, dterms, qkeys, dkeys, finish):
-    n = qterms.count()
-    buckets = max(1, math.ceil(n / BROADCAST_ROWS))
-    dterms = dterms.checkpoint()          # scanned once per bucket
-    h = F.pmod(F.xxhash64(*qkeys), F.lit(buckets))
-    out = None
-    for b in range(buckets):
-        part = finish(_pair_scores(qterms.filter(h == b), dterms, qkeys, dkeys, stream_is_docs=True))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def top_k(scores: DataFrame, qkeys: list[str], dkeys: list[str], k: int = TOP_K) -> DataFrame:
-    """Best ``k`` documents per query: score desc, ties to the later-added
-    document (larger document key). Rank starts at 1."""
-    w = Window.partitionBy(*qkeys).orderBy(F.col("score").desc(), *[F.col(c).desc() for c in dkeys])
-    return (scores.filter(F.col("score") > 0)
-            .withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
-
-
 def search(queries: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str] = CHUNK_KEY,
-           text: str = "text", k: int = TOP_K, strategy: str = "auto", pinned=None) -> DataFrame:
+           text: str = "text", k: int = TOP_K, shards: int | None = None, blocks: int | None = None) -> DataFrame:
     """queries(qkeys, text) x index(dkeys, tok, n, n2) -> top-k hits
-    (qkeys, rank, dkeys, score).
-
-    ``auto``/``kernel``: the broadcast-postings kernel (see topk_kernel).
-    ``join``: the pure DataFrame plan, choosing among ``broadcast_docs``,
-    ``broadcast_queries`` and ``buckets`` by measured sizes (each also
-    selectable by name). Both give identical rows."""
-    # Partition the queries once by key: the term count, the norm, the
-    # scoring and the top-k all run in these tasks (no further exchange).
-    n = fanout_partitions(queries.sparkSession)
-    qterms = term_vectors(queries.select(*qkeys, text).repartition(n, *qkeys), qkeys, text)
-    if strategy in ("auto", "kernel"):
-        if pinned is None:
-            dterms = dterms.persist(StorageLevel.MEMORY_AND_DISK)
-        rows = 0 if pinned is not None else dterms.count()
-        res = kernel_topk(qterms, dterms, qkeys, dkeys, k, rows, pinned=pinned)
-        return res.select(*qkeys, "rank", *dkeys, "score")
-    strategy, qterms, dterms = _choose(qterms, dterms, "auto" if strategy == "join" else strategy)
-    fin = lambda s: top_k(s, qkeys, dkeys, k)
-    if strategy == "buckets":
-        res = _bucketed(qterms, dterms, qkeys, dkeys, fin)
-    else:
-        stream_docs = strategy == "broadcast_queries"
-        res = fin(_pair_scores(qterms, dterms, qkeys, dkeys, stream_is_docs=stream_docs))
-    return res.select(*qkeys, "rank", *dkeys, "score")
+    (qkeys, rank, dkeys, score): score desc, ties to the later-added document
+    (larger key), only scores above 0. Rank starts at 1."""
+    parted = queries.select(*qkeys, text).repartition(fanout_partitions(queries), *qkeys)
+    qterms = term_vectors(parted, qkeys, text)
+    return sharded_topk(qterms, dterms, qkeys, dkeys, k, shards, blocks).select(*qkeys, "rank", *dkeys, "score")
 
 
 def with_chunk_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,180 +1,128 @@
-"""Per-query top-k over a broadcast postings index (the ``kernel`` search
-strategy).
-
-Spark does the distributed work: it tokenises, counts terms, partitions the
-queries by key, size-checks the index, broadcasts it, and merges shards.
-Inside each task a short numpy routine scores one query at a time against
-the broadcast postings: it gathers the posting lists of the query's tokens,
-sums ``qn * dn`` per document with ``bincount`` (integer products, exact in
-float64), divides by the norms in the same order as the SQL form, and keeps
-the best ``k`` (score desc, then the larger document key). No (query,
-document) pair ever becomes a row, so the cost is the posting entries
-touched, not a hash aggregate over all pairs.
-
-An index above the broadcast bound is split into hash shards of the
-document key, each under the bound; every shard yields <= k rows per query
-and a window keeps the global best k.
+"""Per-query top-k over postings that stay where the documents are.
+
+Documents are hashed into shards and queries into blocks; every (shard, block)
+is one task. The task lays its documents' counts out by token, scores its
+queries one by one (the products of counts are summed per document with
+``bincount``: integers, exact in float64), divides by the norms in the same
+order as the SQL form, and returns at most ``k`` hits for a query. A window
+over these takes the best ``k`` (score, then the larger document key).
+
+Nothing passes through the driver and nothing is broadcast: documents move
+once for each query block and queries once for each shard, as rows of arrays.
+Shards and blocks follow the bytes that the two inputs read, so a task's
+memory does not grow with the table. One document is never split, whatever its
+number of tokens.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..plans.sizing import fanout_partitions, input_bytes
+
+# Bytes of query text (as scanned) for one block of queries.
+BLOCK_BYTES = 64 << 20
+
+
+class Postings:
+    """The documents of a shard by token: for token ``t``, documents
+    ``doc[start[t]:start[t + 1]]`` and their counts. Documents are numbered in
+    ascending key order, so the larger number is the larger key."""
+
+    def __init__(self, t: pa.Table, dkeys: list[str]):
+        t = t.sort_by([(c, "ascending") for c in dkeys])
+        tokens = _chunk(t.column("toks"))
+        self.keys = [_chunk(t.column(c)) for c in dkeys]
+        self.norm = t.column("n2").to_numpy().astype(np.float64)
+        words = tokens.flatten().dictionary_encode()
+        self.vocabulary = words.dictionary
+        code = words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+        self.doc = np.repeat(np.arange(len(size)), size)[order]
+        self.count = _chunk(t.column("ns")).flatten().to_numpy().astype(np.float64)[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.vocabulary)))])
+
+    def best(self, code: np.ndarray, n: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores), best first, for a query's token codes and counts."""
+        lo, size = self.start[code], self.start[code + 1] - self.start[code]
+        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        dot = np.bincount(self.doc[at], weights=np.repeat(n, size) * self.count[at], minlength=len(self.norm))
+        hit = np.flatnonzero(dot)
+        score = dot[hit] / (math.sqrt(norm) * np.sqrt(self.norm[hit]))
+        if len(hit) > k:
+            keep = score >= np.partition(score, -k)[-k]
+            hit, score = hit[keep], score[keep]
+        top = np.lexsort((-hit, -score))[:k]
+        return hit[top], score[top]
+
+
+def _chunk(c: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(c.chunks) if c.num_chunks != 1 else c.chunk(0)
+
+
+def _packed(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key with its tokens, their counts and the squared norm.
+    Terms are partitioned by key, so this adds no exchange; the arrays are no
+    longer than the text."""
+    return terms.groupBy(*keys).agg(F.collect_list("tok").alias("toks"), F.collect_list("n").alias("ns"), F.max("n2").alias("n2"))
+
+
+def _scorer(qkeys: list[str], dkeys: list[str], k: int, schema: pa.Schema):
+    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        if not docs.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        p = Postings(docs, dkeys)
+        tokens = _chunk(queries.column("toks"))
+        code = pc.index_in(tokens.flatten(), value_set=p.vocabulary)
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        code = code.fill_null(0).to_numpy()
+        count = _chunk(queries.column("ns")).flatten().to_numpy().astype(np.float64)
+        norm = queries.column("n2").to_numpy().astype(np.float64)
+        size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        rows, hits, scores = [], [], []
+        for q in range(len(norm)):
+            here = np.arange(end[q] - size[q], end[q])
+            here = here[known[here]]
+            if len(here):
+                h, s = p.best(code[here], count[here], norm[q], k)
+                rows.append(np.full(len(h), q))
+                hits.append(h)
+                scores.append(s)
+        if not rows:
+            return schema.empty_table()
+        at, hit = pa.array(np.concatenate(rows)), pa.array(np.concatenate(hits))
+        cols = [_chunk(queries.column(c)).take(at) for c in qkeys] + [c.take(hit) for c in p.keys]
+        return pa.Table.from_arrays([*cols, pa.array(np.concatenate(scores))], names=schema.names).cast(schema)
 
-from ..plans.sizing import BROADCAST_ROWS, rows_at_most
-
-
-class PostingsIndex:
-    """Postings grouped by token (CSR layout) plus per-document columns.
-    Documents are numbered in ascending key order, so "larger key first" is
-    "larger number first"."""
-
-    def __init__(self, vocab: dict, indptr: np.ndarray, doc: np.ndarray, cnt: np.ndarray,
-                 d2: np.ndarray, keys: dict[str, np.ndarray]):
-        self.vocab, self.indptr, self.doc, self.cnt, self.d2, self.keys = vocab, indptr, doc, cnt, d2, keys
-
-    @property
-    def n_docs(self) -> int:
-        return len(self.d2)
-
-
-def build_index(dterms: DataFrame, dkeys: list[str]) -> PostingsIndex:
-    """Fetch a size-checked term table (dkeys, tok, n, n2) as Arrow and lay
-    it out by token."""
-    pdf = dterms.select(*dkeys, "tok", "n", "n2").toArrow().to_pandas()
-    docs = (pdf[[*dkeys, "n2"]].drop_duplicates(dkeys).sort_values(dkeys, kind="stable")
-            .reset_index(drop=True))
-    docs["_doc"] = np.arange(len(docs), dtype=np.int64)
-    doc_of_row = pdf[dkeys].merge(docs[[*dkeys, "_doc"]], on=dkeys, how="left")["_doc"].to_numpy()
-    codes, uniques = pd.factorize(pdf["tok"], sort=False)
-    order = np.argsort(codes, kind="stable")
-    per_tok = np.bincount(codes, minlength=len(uniques))
-    indptr = np.zeros(len(uniques) + 1, dtype=np.int64)
-    np.cumsum(per_tok, out=indptr[1:])
-    vocab = {t: i for i, t in enumerate(uniques)}
-    return PostingsIndex(vocab, indptr, doc_of_row[order].astype(np.int64),
-                         pdf["n"].to_numpy()[order].astype(np.float64),
-                         docs["n2"].to_numpy().astype(np.float64),
-                         {c: docs[c].to_numpy() for c in dkeys})
-
-
-def score_query(ix: PostingsIndex, toks, ns, q2: float, k: int):
-    """(doc numbers, scores) of the best ``k`` documents for one query."""
-    ids, qn = [], []
-    for t, n in zip(toks, ns):
-        i = ix.vocab.get(t)
-        if i is not None:
-            ids.append(i)
-            qn.append(n)
-    if not ids:
-        return None
-    ids = np.asarray(ids, dtype=np.int64)
-    starts, ends = ix.indptr[ids], ix.indptr[ids + 1]
-    lengths = ends - starts
-    total = int(lengths.sum())
-    if total == 0:
-        return None
-    # positions of every posting of every query token, without a Python loop
-    first = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    pos = first + np.arange(total, dtype=np.int64)
-    docs = ix.doc[pos]
-    w = np.repeat(np.asarray(qn, dtype=np.float64), lengths) * ix.cnt[pos]
-    if ix.n_docs <= 8 * total:
-        dot = np.bincount(docs, weights=w, minlength=ix.n_docs)
-        cand = np.flatnonzero(dot)
-        dot = dot[cand]
-    else:
-        cand, inv = np.unique(docs, return_inverse=True)
-        dot = np.bincount(inv, weights=w)
-    score = dot / (math.sqrt(q2) * np.sqrt(ix.d2[cand]))
-    if len(cand) > k:
-        kth = np.partition(score, len(score) - k)[len(score) - k]
-        keep = score >= kth
-        cand, score = cand[keep], score[keep]
-    order = np.lexsort((-cand, -score))[:k]
-    return cand[order], score[order]
-
-
-def _kernel(bc, qkeys: list[str], dkeys: list[str], k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix: PostingsIndex = bc.value
-        for pdf in batches:
-            out = {c: [] for c in (*qkeys, "rank", *dkeys, "score")}
-            qcols = [pdf[c].to_numpy() for c in qkeys]
-            for r, (toks, ns, q2) in enumerate(zip(pdf["_toks"], pdf["_ns"], pdf["_q2"])):
-                res = score_query(ix, toks, ns, float(q2), k)
-                if res is None:
-                    continue
-                docs, scores = res
-                m = len(docs)
-                for c, v in zip(qkeys, qcols):
-                    out[c].extend([v[r]] * m)
-                out["rank"].extend(range(1, m + 1))
-                for c in dkeys:
-                    out[c].extend(ix.keys[c][docs].tolist())
-                out["score"].extend(scores.tolist())
-            yield pd.DataFrame(out)
     return run
 
 
-def _packed_queries(qterms: DataFrame, qkeys: list[str]) -> DataFrame:
-    """One row per query with its tokens and counts. The query terms are
-    already partitioned by key, so this aggregate adds no exchange; a
-    query's list is bounded by its own text."""
-    return qterms.groupBy(*qkeys).agg(
-        F.collect_list("tok").alias("_toks"), F.collect_list("n").alias("_ns"),
-        F.max("n2").cast("double").alias("_q2"))
-
-
-def pin_index(dterms: DataFrame, dkeys: list[str], bound: int = BROADCAST_ROWS):
-    """Build and broadcast the index once, for callers that score many
-    batches against a knowledge base that does not change meanwhile (a
-    stream). None when the index needs shards."""
-    if rows_at_most(dterms, bound) is None:
-        return None
-    return dterms.sparkSession.sparkContext.broadcast(build_index(dterms, dkeys))
-
-
-def kernel_topk(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str],
-                k: int, index_rows: int, bound: int = BROADCAST_ROWS, pinned=None) -> DataFrame:
-    """Top-k hits (qkeys, rank, dkeys, score) for query terms partitioned by
-    qkeys against a term table of ``index_rows`` rows (already counted).
-    ``pinned``: a broadcast from ``pin_index`` to reuse instead of building."""
-    spark = qterms.sparkSession
-    packed = _packed_queries(qterms, qkeys)
-    qfields = [qterms.schema[c] for c in qkeys]
-    dfields = [dterms.schema[c] for c in dkeys]
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in qfields],
-                           T.StructField("rank", T.IntegerType()),
-                           *[T.StructField(f.name, f.dataType) for f in dfields],
-                           T.StructField("score", T.DoubleType())])
-    # one shard when the index is under the bound; else hash shards sized to
-    # half the bound (a chunk has at most 800 distinct tokens, so hashing
-    # whole documents cannot overfill a shard), each checked before use
-    shards = 1 if index_rows <= bound else math.ceil(index_rows / (bound // 2))
-    if shards > 1:
-        packed = packed.persist(StorageLevel.MEMORY_AND_DISK)   # scanned once per shard
-    parts = []
-    for s in range(shards):
-        piece = dterms if shards == 1 else dterms.filter(
-            F.pmod(F.xxhash64(*dkeys), F.lit(shards)) == s)
-        if shards > 1 and rows_at_most(piece, bound) is None:
-            raise ValueError(f"index shard {s} exceeds {bound} rows")
-        bc = pinned if (pinned is not None and shards == 1) else \
-            spark.sparkContext.broadcast(build_index(piece, dkeys))
-        parts.append(packed.mapInPandas(_kernel(bc, qkeys, dkeys, k), schema))
-    if shards == 1:
-        return parts[0]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    # <= k rows per query per shard; the window keeps the global best k
+def sharded_topk(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str], k: int,
+                 shards: int | None = None, blocks: int | None = None) -> DataFrame:
+    """Top-k hits (qkeys, rank, dkeys, score) of query terms against document
+    terms, each (keys, tok, n, n2) and partitioned by its keys."""
+    shards = shards or fanout_partitions(dterms)
+    blocks = blocks or max(1, math.ceil(input_bytes(qterms) / BLOCK_BYTES))
+    shard = F.pmod(F.xxhash64(*dkeys), F.lit(shards)).cast("int").alias("_shard")
+    block = F.pmod(F.xxhash64(*qkeys), F.lit(blocks)).cast("int").alias("_block")
+    docs = _packed(dterms, dkeys).select("*", shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    queries = _packed(qterms, qkeys).select("*", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    fields = [*[qterms.schema[c] for c in qkeys], *[dterms.schema[c] for c in dkeys]]
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("score", T.DoubleType())])
+    n = shards * blocks
+    pair = docs.repartition(n, "_shard", "_block").groupBy("_shard", "_block").cogroup(
+        queries.repartition(n, "_shard", "_block").groupBy("_shard", "_block"))
+    hits = pair.applyInArrow(_scorer(qkeys, dkeys, k, to_arrow_schema(out)), out)
+    # at most k rows of a query from each shard
     w = Window.partitionBy(*qkeys).orderBy(F.col("score").desc(), *[F.col(c).desc() for c in dkeys])
-    return allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -199,13 +199,22 @@ register("kb_index", "SELECT upload_id, chunk_index, tok, n, n2 FROM kb_postings
 
 # ------------------------------------------------------------------ similarity
 
-register("cosine_pairs", """
-SELECT q.q_id, d.item_id, CAST(sum(q.n * d.n) AS BIGINT) AS dot,
+# T3 over candidates: the best items of every query
+_BEST = topk_sql("query_terms", "bench_terms", "q_id", ["item_id"])
+
+
+@register("cosine_pairs", f"""
+SELECT h.q_id, h.item_id, CAST(sum(q.n * d.n) AS BIGINT) AS dot,
  sum(q.n * d.n) / (sqrt(any_value(q.n2)) * sqrt(any_value(d.n2))) AS score
-FROM query_terms q JOIN bench_terms d ON q.tok = d.tok GROUP BY q.q_id, d.item_id""")(
-    lambda spark, d: S.cosine_scores(
-        KB.term_vectors(_fx(spark, d).kb_queries, ["q_id"], "text"),
-        KB.term_vectors(_fx(spark, d).benchmark, ["item_id"], "text"), ["q_id"], ["item_id"]))
+FROM ({_BEST}) h JOIN query_terms q ON q.q_id = h.q_id JOIN bench_terms d ON d.item_id = h.item_id AND d.tok = q.tok
+GROUP BY h.q_id, h.item_id""")
+def _cosine_pairs(spark, d):
+    q = KB.term_vectors(_fx(spark, d).kb_queries, ["q_id"], "text")
+    items = KB.term_vectors(_fx(spark, d).benchmark, ["item_id"], "text")
+    best = S.search(_fx(spark, d).kb_queries, items, ["q_id"], ["item_id"])
+    return S.cosine_scores(best, q, items, ["q_id"], ["item_id"])
+
+
 register("kb_topk", topk_sql("query_terms", "kb_postings", "q_id", ["upload_id", "chunk_index"]))(
     lambda spark, d: S.search(_fx(spark, d).kb_queries, KB.kb_index(_chunks(_fx(spark, d))), ["q_id"]))
 register("benchmark_topk", topk_sql("query_terms", "bench_terms", "q_id", ["item_id"]))(

@@ -1,46 +1,28 @@
-"""Size checks that gate every broadcast.
-
-A side is broadcast only after counting it (with an early stop) against an
-explicit row bound; otherwise the caller gets the shuffle-based plan.
-"""
+"""Partition counts from the size of what a plan reads."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest side ever broadcast, in rows. Term rows are ~40-80 bytes, so this
-# keeps a broadcast well under a few hundred MB per executor.
-BROADCAST_ROWS = 4_000_000
-
-
-def rows_at_most(df: DataFrame, bound: int) -> int | None:
-    """Row count if it is <= bound, else None. Stops after bound+1 rows."""
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
+import math
 
+from pyspark.sql import DataFrame
 
-def maybe_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """(df with a broadcast hint, True) if the size check passes, else (df, False)."""
-    if rows_at_most(df, bound) is not None:
-        return F.broadcast(df), True
-    return df, False
+# Input bytes (as the scans report them) for one partition of a fan-out.
+FANOUT_BYTES = 32 << 20
 
 
-def measured(df: DataFrame, bound: int) -> tuple[DataFrame, int | None]:
-    """Persist ``df`` (memory, spilling to disk) and count it up to
-    ``bound + 1`` rows. The plan that follows reads the same cached rows, so
-    the size check costs no second computation. A lost executor's blocks are
-    recomputed from lineage."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df, rows_at_most(df, bound)
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the scans of a plan read, from their statistics: no job runs.
+    Leaves without statistics (rows of a micro-batch) report the largest number
+    there is and count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
-def fanout_partitions(spark) -> int:
-    """Partition count for the streamed side of a join whose output is many
-    times its input (the token join). AQE sizes partitions by input bytes and
-    would coalesce a small side into one task; an explicit count is kept.
-    At least the shuffle setting, and at least two tasks per core."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+def fanout_partitions(df: DataFrame, each: int = FANOUT_BYTES) -> int:
+    """Partition count for a step whose output is many times its input (terms
+    of texts, scoring). AQE sizes partitions by input bytes and would merge
+    them, so the count is explicit. It grows with the input; small inputs get
+    two tasks for each core."""
+    floor = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return max(floor, math.ceil(input_bytes(df) / each))
