@@ -20,9 +20,10 @@ FALLBACK = {"intent": "general_inquiry", "department": "General", "sentiment": "
 # Fixed defaults when no department exists at all.
 NO_DEPT_TONE = "professional"
 NO_DEPT_SIGNATURE = "Best regards,\nSupport Team"
+# Fixed output texts (stored with the message and in its log).
 NO_KB_HIT = "No specific KB match found."
 KB_HIT = "Used knowledge base."
-NO_KNOWLEDGE = "No specific knowledge available. Reply professionally and offer to help."
+NO_KNOWLEDGE = "Nothing in the knowledge base fits this message; answer politely and ask what is needed."
 CLASSIFY_BODY_CHARS = 1500
 REPLY_BODY_CHARS = 2000
 REGEN_CONTEXT_CHARS = 2000
@@ -40,6 +41,26 @@ def _field(j: Column, key: str) -> Column:
     return F.try_variant_get(j, f"$.{key}", "variant")
 
 
+def _shown(j: Column, key: str) -> Column:
+    """A scalar field as text: booleans ``True``/``False``, and fractions with
+    their point (``1.0``); other values as they are."""
+    text, kind = F.try_variant_get(j, f"$.{key}", "string"), _vtype(_field(j, key))
+    return (F.when(kind == "BOOLEAN", F.initcap(text))
+            .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.try_variant_get(j, f"$.{key}", "double").cast("string"))
+            .otherwise(text))
+
+
+def finite_numbers(t: Column) -> Column:
+    """JSON text with the number words NaN, Infinity and -Infinity, outside of
+    strings, read as null. Escapes are masked first, so each remaining quote
+    opens or closes a string, and every other piece lies outside."""
+    masked = F.replace(F.replace(t, F.lit("\\\\"), F.lit("\ue000")), F.lit('\\"'), F.lit("\ue001"))
+    pieces = F.transform(F.split(masked, '"', -1), lambda p, i: F.when(
+        i % 2 == 0, F.regexp_replace(p, r"(?<![\w-])(NaN|-?Infinity)(?!\w)", "null")).otherwise(p))
+    back = F.replace(F.replace(F.array_join(pieces, '"'), F.lit("\ue001"), F.lit('\\"')), F.lit("\ue000"), F.lit("\\\\"))
+    return F.when(t.rlike("NaN|Infinity") & ~t.rlike("[\ue000\ue001]"), back).otherwise(t)
+
+
 _REQUIRED = ("intent", "department", "sentiment", "urgency")
 
 
@@ -62,18 +83,23 @@ def parse_response_frame(df: DataFrame, response_text: str = "response_text",
     """
     keep = [c for c in df.columns]
     t = py_strip(F.regexp_replace(py_strip(F.coalesce(F.col(response_text), F.lit(""))), "```json|```", ""))
-    s1 = df.withColumn("_t", t)
-    s2 = s1.withColumn("_j", F.try_parse_json("_t"))
-    # the JSON parser accepts trailing text after a container; Python does not
-    closed = (F.when(F.col("_t").startswith("{"), F.col("_t").endswith("}"))
-              .when(F.col("_t").startswith("["), F.col("_t").endswith("]")).otherwise(F.lit(True)))
+    s1 = df.withColumn("_t", finite_numbers(t))
+    # The parser stops at the end of the first value. Inside an array that a
+    # mark closes, which the text cannot know, anything after the value shows:
+    # the array has to hold the value and the mark, and no more.
+    mark = F.md5(F.col("_t").cast("binary"))
+    framed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "_t", F.lit(',"'), mark, F.lit('"]'))),
+                               "$", "array<variant>")
+    s2 = s1.withColumn("_framed", framed).withColumn("_mark", mark)
+    s2 = s2.withColumn("_j", F.when(
+        (F.size("_framed") == 2) & F.try_variant_get(F.get("_framed", F.lit(1)), "$", "string").eqNullSafe(F.col("_mark")),
+        F.get("_framed", F.lit(0))))
     j = F.col("_j")
-    s3 = s2.select(*keep, (j.isNotNull() & closed).alias("_valid"),
+    s3 = s2.select(*keep, j.isNotNull().alias("_valid"),
                    _vtype(j).alias("_root"),
                    F.map_keys(F.try_variant_get(j, "$", "map<string,variant>")).alias("_keys"),
                    *[_vtype(_field(j, k)).alias(f"_ty_{k}") for k in (*_REQUIRED, "key_topics")],
-                   *[F.try_variant_get(j, f"$.{k}", "string").alias(f"_s_{k}")
-                     for k in (*_REQUIRED, "summary", "key_topics")],
+                   *[_shown(j, k).alias(f"_s_{k}") for k in (*_REQUIRED, "summary", "key_topics")],
                    F.try_variant_get(j, "$.key_topics", "array<string>").alias("_topics_arr"))
 
     def has(k):
@@ -130,17 +156,17 @@ def resolve_department(df: DataFrame, departments: DataFrame, predicted: str = "
     case-insensitive name match, else the last department (highest ord),
     else fixed defaults. The predicted string itself is kept unchanged.
 
-    The department table is a small configuration dimension; both joins
-    broadcast it (after a size check by the caller's plan)."""
+    Both joins are left to the planner, which broadcasts a table of departments
+    if its size is below the threshold."""
     # first department (table order) per case-folded name
     d = departments.groupBy(F.lower("name").alias("_lname")).agg(F.min("ord").alias("_ord"))
     last_ord = departments.agg(F.max("ord")).scalar()
-    m = df.join(F.broadcast(d), F.lower(F.col(predicted)) == F.col("_lname"), "left")
+    m = df.join(d, F.lower(F.col(predicted)) == F.col("_lname"), "left")
     m = m.withColumn("_rord", F.coalesce(F.col("_ord"), last_ord)).drop("_lname", "_ord")
     dd = departments.select(F.col("ord").alias("_rord"), F.col("name").alias("dept_name"),
                             F.col("tone").alias("_tone"), F.col("signature").alias("_sig"),
                             F.col("auto_send_threshold").alias("_thr"))
-    m = m.join(F.broadcast(dd), "_rord", "left")
+    m = m.join(dd, "_rord", "left")
     return (m.withColumn("tone", F.coalesce("_tone", F.lit(NO_DEPT_TONE)))
             .withColumn("signature", F.coalesce("_sig", F.lit(NO_DEPT_SIGNATURE)))
             .withColumn("auto_send_threshold", F.coalesce("_thr", F.lit(DEFAULT_THRESHOLD)))
@@ -218,6 +244,30 @@ def regenerate_prompt(kb_ctx, sender_name, sender_email, subject, body, intent,
         intent=_none(intent), sentiment=_none(sentiment), department=_none(department), extra=extra)
 
 
+# ------------------------------------------------------------ drafts
+
+def apply_drafts(state: DataFrame, drafts: DataFrame) -> DataFrame:
+    """drafts(email_id, draft_text) for triaged messages -> the state with
+    ``ai_draft``, white space stripped at both ends. A message that was routed
+    but whose draft is null (the call failed) is marked 'failed' and keeps no
+    classification; one without a draft row waits: status and draft stay.
+    Failed messages take no draft."""
+    d = drafts.groupBy(F.col("email_id").alias("id")).agg(
+        F.max(py_strip(F.col("draft_text"))).alias("_draft"), F.lit(True).alias("_came"))
+    m = state.join(d, "id", "left")
+    live = F.col("status") != "failed"
+    broken = live & F.coalesce(F.col("_came"), F.lit(False)) & F.col("_draft").isNull()
+    held = F.col("ai_draft") if "ai_draft" in state.columns else F.lit(None).cast("string")
+    blank = {c: F.when(~broken, F.col(c)) for c in ("department", "intent", "sentiment", "ai_reasoning")}
+    return m.select(*[blank.get(c, F.col(c)).alias(c) for c in state.columns if c not in (
+                        "status", "ai_draft", "confidence_score", "urgency", "has_kb")],
+                    F.when(broken, F.lit("failed")).otherwise(F.col("status")).alias("status"),
+                    F.when(broken, F.lit(0.0)).otherwise(F.col("confidence_score")).alias("confidence_score"),
+                    F.when(broken, F.lit("normal")).otherwise(F.col("urgency")).alias("urgency"),
+                    (F.col("has_kb") & ~broken).alias("has_kb"),
+                    F.when(live & F.col("_draft").isNotNull(), F.col("_draft")).when(~broken, held).alias("ai_draft"))
+
+
 # ------------------------------------------------------------ M11 send results
 
 def apply_send_results(triaged: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 from ..functions.mail import reply_subject
 
 
-def compose_reply(messages: DataFrame, company: str, sender: str, body: str = "ai_draft") -> DataFrame:
+def outgoing(messages: DataFrame) -> DataFrame:
+    """Messages that have a reply to send, with ``reply_text``: auto-sent ones
+    their draft, approved ones their final reply (the draft, if none is kept)."""
+    final = F.col("final_reply") if "final_reply" in messages.columns else F.lit(None).cast("string")
+    text = F.when(F.col("status") == "sent", F.coalesce(final, F.col("ai_draft"))).otherwise(F.col("ai_draft"))
+    return messages.filter(F.col("status").isin("auto_sent", "sent")).withColumn("reply_text", text)
+
+
+def compose_reply(messages: DataFrame, company: str, sender: str, body: str = "ai_draft",
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """messages(id, message_id, sender_name, sender_email, subject, <body>)
-    -> reply headers and bodies (plain, and html with line breaks as <br>)."""
+    -> reply headers and bodies (plain, and html with line breaks as <br>);
+    ``carry``: further columns to keep."""
     name = F.coalesce(F.col("sender_name"), F.lit(""))
     text = F.coalesce(F.col(body), F.lit(""))
     return messages.select(
@@ -24,9 +34,11 @@ def compose_reply(messages: DataFrame, company: str, sender: str, body: str = "a
         F.nullif(F.col("message_id"), F.lit("")).alias("references"),
         text.alias("text_body"),
         F.concat(F.lit("<html><body>"), F.replace(text, F.lit("\n"), F.lit("<br>")),
-                 F.lit("</body></html>")).alias("html_body"))
+                 F.lit("</body></html>")).alias("html_body"), *carry)
 
 
-def write_outbox(replies: DataFrame, path: str, day: str = "day") -> None:
-    """Append replies to the outbox table, partitioned by day."""
-    replies.write.mode("append").partitionBy(day).parquet(path)
+def write_outbox(replies: DataFrame, path: str, run_id: str, day: str = "day") -> None:
+    """Write a run's replies to the outbox table, partitioned by run and day.
+    A run that is repeated replaces its own rows."""
+    (replies.withColumn("run_id", F.lit(run_id)).write.option("partitionOverwriteMode", "dynamic")
+     .mode("overwrite").partitionBy("run_id", day).parquet(path))

@@ -338,15 +338,41 @@ register("compose_reply", _REPLY_SQL + " FROM emails")(
     lambda spark, d: O.compose_reply(_fx(spark, d).emails, COMPANY, SMTP_USER))
 
 
-@register("outbox", "SELECT email_id, subject, to_addr, day FROM (" + _REPLY_SQL
-          + ", CAST(received_at AS DATE) AS day FROM emails)")
+# Drafts come back for the triaged messages: white space around the text, a
+# failed call (null) for some, none at all for others.
+_DRAFT_SQL = """
+SELECT id AS email_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE chr(10) || ' ' || ai_draft || '  ' END AS draft_text
+FROM emails WHERE event_id % 7 <> 0"""
+
+_DRAFTED_SQL = f"""
+SELECT t.id, CASE WHEN t.status <> 'failed' AND d.email_id IS NOT NULL AND d.draft_text IS NULL THEN 'failed' ELSE t.status END AS status,
+ CASE WHEN t.status <> 'failed' AND d.email_id IS NOT NULL AND d.draft_text IS NULL THEN NULL ELSE t.department END AS department,
+ CASE WHEN t.status <> 'failed' AND d.email_id IS NOT NULL AND d.draft_text IS NULL THEN CAST(0.0 AS DOUBLE) ELSE t.confidence_score END AS confidence_score,
+ CASE WHEN t.status <> 'failed' THEN trim(regexp_replace(d.draft_text, '^\\s+|\\s+$', '', 'g')) END AS ai_draft
+FROM triaged t LEFT JOIN ({_DRAFT_SQL}) d ON d.email_id = t.id"""
+
+
+@register("apply_drafts", _DRAFTED_SQL)
+def _apply_drafts(spark, d):
+    state = _triage(spark, d).state
+    drafts = spark.sql(_DRAFT_SQL)
+    return C.apply_drafts(state, drafts).select("id", "status", "department", "confidence_score", "ai_draft")
+
+
+@register("outbox", "SELECT email_id, subject, to_addr, text_body, day FROM (" + _REPLY_SQL.replace("ai_draft", "reply_text")
+          + """, CAST(received_at AS DATE) AS day FROM (
+ SELECT e.* EXCLUDE (status, ai_draft), CASE WHEN s.status = 'sent' THEN coalesce(s.final_reply, s.ai_draft) ELSE s.ai_draft END AS reply_text
+ FROM emails e JOIN dec_state s ON s.id = e.id WHERE s.status IN ('auto_sent', 'sent')))""")
 def _outbox(spark, d):
-    e = _fx(spark, d).emails
-    replies = O.compose_reply(e.withColumn("_day", F.to_date("received_at")), COMPANY, SMTP_USER)
-    days = e.select(F.col("id").alias("email_id"), F.to_date("received_at").alias("day"))
+    """Replies of the messages that are auto-sent or approved after the
+    decisions; the state carries what the reply is made of."""
+    fx = _fx(spark, d)
+    state, _ = D.apply_decisions(fx.emails, fx.decisions)
+    e = fx.emails.select("id", "message_id", "sender_name", "sender_email", "subject", F.to_date("received_at").alias("day"))
+    sent = O.outgoing(state.select("id", "status", "ai_draft", "final_reply")).join(e, "id")
     path = scratch_path(spark, "outbox")
-    O.write_outbox(replies.join(days, "email_id"), path)
-    return spark.read.parquet(path).select("email_id", "subject", "to_addr", "day")
+    O.write_outbox(O.compose_reply(sent, COMPANY, SMTP_USER, "reply_text", ("day",)), path, "run-1")
+    return spark.read.parquet(path).select("email_id", "subject", "to_addr", "text_body", "day")
 
 
 @register("activity_append", """
@@ -365,7 +391,7 @@ def _activity_append(spark, d):
     cols = ["id", "email_id", "action", "actor", "details", "created_at"]
     parts = [tri.activity, send_acts, dec_acts]
     path = scratch_path(spark, "activity")
-    for p in parts:   # each producer appends its rows to the activity table
-        p.select(*cols[:-1], F.col("created_at").cast("timestamp_ntz").alias("created_at")) \
-            .write.mode("append").parquet(path)
+    for n, p in enumerate(parts):   # each producer writes its rows by run: repeated, it replaces them
+        p.select(*cols[:-1], F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.lit(f"run-{n}").alias("run_id")) \
+            .write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run_id").parquet(path)
     return spark.read.parquet(path).select(*cols)

@@ -32,6 +32,8 @@ class TriageResult:
     context: DataFrame      # email_id, search_text, rag_context, n_hits
     reply_requests: DataFrame
     classify_requests: DataFrame
+    unmatched: DataFrame    # responses without a stored message
+    failed: DataFrame       # responses that cannot drive the pipeline
     cached: tuple = ()
 
     def release(self) -> None:
@@ -42,32 +44,32 @@ class TriageResult:
 
 def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departments: DataFrame,
            auto_send_enabled: bool = True, simulate: bool = False, index: DataFrame | None = None,
-           k: int = TOP_K, pinned=None) -> TriageResult:
-    # the chunk table feeds the index, the passages and the fallback context
-    chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
+           k: int = TOP_K) -> TriageResult:
     msgs = emails.select("id", "message_id", "sender_name", "sender_email", "subject", "received_at",
                          select_body("text_body", "html_body").alias("body"))
     # Parsed responses are small per row and read by every branch below; they
     # are persisted so that a filter on ``outcome`` reads stored rows instead
-    # of Catalyst inlining the whole JSON parse into each filter.
-    parsed = (C.parse_responses(responses, emails).withColumnRenamed("email_id", "id")
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    m = msgs.join(parsed, "id")
-    live = F.col("outcome") != C.OUTCOME_FAILED
-    m = m.withColumn("search_text", F.when(live, search_query(F.col("subject"), F.col("intent"),
-                                                              F.col("topics"))))
+    # of Catalyst inlining the whole JSON parse into each filter. The summary is
+    # not needed here, so neither is the message's subject: one join follows.
+    parsed = (C.parse_response_frame(responses.select(F.col("email_id").alias("id"), "response_text")
+                                     .withColumn("subject", F.lit(None).cast("string")))
+              .drop("subject", "summary").persist(StorageLevel.MEMORY_AND_DISK))
+    m = msgs.join(parsed.drop("response_text"), "id")
+    is_live = F.col("outcome") != C.OUTCOME_FAILED
+    live_rows = m.filter(is_live).withColumn("search_text", search_query(F.col("subject"), F.col("intent"), F.col("topics")))
 
     # search each distinct text once
-    queries = (m.filter(F.col("search_text").isNotNull())
-               .groupBy("search_text").agg(F.min("id").alias("q_id")))
+    queries = live_rows.groupBy("search_text").agg(F.min("id").alias("q_id"))
     idx = index if index is not None else kb_index(chunks)
-    hits = search(queries.select("q_id", F.col("search_text").alias("text")), idx, ["q_id"], k=k,
-                  pinned=pinned)
+    hits = search(queries.select("q_id", F.col("search_text").alias("text")), idx, ["q_id"], k=k)
     ctx = rag_context(with_chunk_text(hits, chunks), ["q_id"])
     per_text = queries.join(ctx, "q_id", "left").drop("q_id")
     kbctx = F.substring(kb_context(chunks).scalar(), 1, FALLBACK_CHARS)
 
-    m = m.join(per_text, "search_text", "left")
+    # failed responses have no text to look up, and join the others afterwards
+    m = live_rows.join(per_text, "search_text", "left").unionByName(
+        m.filter(~is_live), allowMissingColumns=True)
+    live = is_live
     m = (m.withColumn("n_hits", F.coalesce("n_hits", F.lit(0)).cast("long"))
           .withColumn("has_kb", F.col("n_hits") > 0)
           .withColumn("rag_context", F.when(live, F.when(F.col("has_kb"), F.col("rag_context"))
@@ -108,7 +110,10 @@ def triage(emails: DataFrame, responses: DataFrame, chunks: DataFrame, departmen
         F.col("intent"), F.col("department"), F.col("sentiment"), F.col("urgency"), F.col("tone"),
         F.col("signature")).alias("prompt"))
     classify = classify_requests(emails, departments)
-    return TriageResult(state, activity, context, reply, classify, (parsed,))
+    sent = parsed.select(F.col("id").alias("email_id"), "response_text", "outcome")
+    unmatched = sent.join(emails.select(F.col("id").alias("email_id")), "email_id", "left_anti")
+    failed = sent.filter(F.col("outcome") == C.OUTCOME_FAILED)
+    return TriageResult(state, activity, context, reply, classify, unmatched.drop("outcome"), failed.drop("outcome"), (parsed,))
 
 
 def classify_requests(emails: DataFrame, departments: DataFrame) -> DataFrame:
