@@ -80,13 +80,14 @@ def recent_activity(activity: DataFrame, emails: DataFrame, n: int = RECENT_ACTI
     """Newest ``n`` activity rows with the message's subject and sender.
 
     The limit is taken before the join: the message side is unique by id, so
-    a left join cannot add or drop activity rows. Only ``n`` rows reach the
-    join, which is then a broadcast of a bounded side.
+    a left join cannot add or drop activity rows. The at most ``n`` ids are
+    broadcast to the messages (a left join cannot build on its left side, a
+    semi join can), so the message table is read and filtered where it lies.
     """
     top = activity.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(n)
-    msg = emails.select(F.col("id").alias("_mid"), "subject", "sender_email")
-    return (F.broadcast(top).join(msg, top["email_id"] == msg["_mid"], "left")
-            .drop("_mid"))
+    ids = top.select(F.col("email_id").alias("_mid")).distinct()
+    msg = emails.select(F.col("id").alias("_mid"), "subject", "sender_email").join(F.broadcast(ids), "_mid", "left_semi")
+    return top.join(F.broadcast(msg), top["email_id"] == msg["_mid"], "left").drop("_mid")
 
 
 def dashboard_stats(emails: DataFrame, kb: DataFrame, as_of) -> DataFrame:

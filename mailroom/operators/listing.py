@@ -55,16 +55,17 @@ def point_lookup(emails: DataFrame, email_id: str) -> DataFrame:
 
 
 def email_detail(emails: DataFrame, activity: DataFrame) -> DataFrame:
-    """Every message with its activity rows (flat), ordered by message then
-    activity time. A plain equi-join: a message with very many activity rows
-    is split by AQE's skew handling, never gathered into one row."""
+    """Every message with its activity rows (flat), a message's rows together
+    and in order of time inside each partition. A plain equi-join: a message
+    with very many activity rows is split by AQE's skew handling, never gathered
+    into one row, and no global sort follows."""
     a = activity.select(F.col("email_id").alias("_eid"), F.col("id").alias("act_id"),
                         F.col("action").alias("act_action"), F.col("actor").alias("act_actor"),
                         F.col("details").alias("act_details"),
                         F.col("created_at").cast("timestamp_ntz").alias("act_created_at"))
     m = emails.select("id", "subject", "sender_email", "status")
     return (m.join(a, m["id"] == a["_eid"], "left").drop("_eid")
-            .orderBy("id", "act_created_at", "act_id"))
+            .sortWithinPartitions("id", "act_created_at", "act_id"))
 
 
 def activity_sorted(activity: DataFrame, email_id: str) -> DataFrame:

@@ -74,12 +74,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators depend on."""
+    """Apply the runtime SQL settings the operators depend on. A cluster's own
+    choice about adaptive execution stays as it is."""
     for k, v in SQL_CONF.items():
-        if k in ("spark.sql.adaptive.enabled",):
-            # keep a cluster's own choice when it made one
-            if spark.conf.get(k, None) is not None:
-                continue
+        if k.startswith("spark.sql.adaptive.") and spark.conf.get(k, None) is not None:
+            continue
         spark.conf.set(k, v)
     checkpoint_dir(spark)
     ship_package(spark)
@@ -89,20 +88,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` (or the context's directory). Only when
-    neither is set -- tests and local runs -- a folder is created here.
+    Reads ``spark.checkpoint.dir`` (or the context's directory). Where neither is
+    set a folder is made here, but on a local master only: on a cluster every
+    executor would write to a disk of its own, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not d:
-            d = tempfile.mkdtemp(prefix="mailroom-ckpt-")
+            d = private_folder(sc.master)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d
 
 
+def private_folder(master: str) -> str:
+    """A new folder of this machine, for a session that runs nowhere else."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="mailroom-ckpt-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder (for stream
     sources, stream checkpoints and written intermediate tables)."""

@@ -32,15 +32,15 @@ SELECT * FROM (VALUES
 """
 
 VIEWS["emails"] = """
-WITH b AS (SELECT e.*, e.event_id % (SELECT count(*) FROM documents) AS did FROM events e)
+WITH b AS (SELECT e.*, e.event_id % (SELECT count(*) FROM documents) AS did, e.event_id % (SELECT count(*) FROM benchmark) AS sid FROM events e)
 SELECT
  b.event_id AS event_id,
  'm' || CAST(b.event_id AS STRING) AS id,
  '<m' || CAST(b.event_id AS STRING) || '@example.com>' AS message_id,
  CASE WHEN b.event_id % 4 = 0 THEN '' ELSE 'User ' || CAST(b.user_id AS STRING) END AS sender_name,
  'user' || CAST(b.user_id AS STRING) || '@example.com' AS sender_email,
- CASE WHEN b.event_id % 11 = 0 THEN 'Re: ' ELSE '' END || replace(substring(d.text, 1, 60), chr(10), ' ') AS subject,
- CASE WHEN b.event_id % 20 = 0 THEN '' WHEN b.event_id % 13 = 0 THEN substring(d.text, 1, 40) ELSE d.text END AS text_body,
+ CASE WHEN b.event_id % 11 = 0 THEN 'Re: ' ELSE '' END || replace(s.text, chr(10), ' ') AS subject,
+ CASE WHEN b.event_id % 20 = 0 THEN '' WHEN b.event_id % 13 = 0 THEN d.source ELSE d.text END AS text_body,
  CASE WHEN b.event_id % 20 = 0 OR b.event_id % 3 = 0 THEN '<p>' || d.text || '</p>' ELSE '' END AS html_body,
  b.ts AS received_at,
  CASE CAST(floor(b.event_id / 5) AS BIGINT) % 6 WHEN 0 THEN 'pending_approval' WHEN 1 THEN 'auto_sent' WHEN 2 THEN 'sent' WHEN 3 THEN 'rejected' WHEN 4 THEN 'failed' ELSE 'processing' END AS status,
@@ -51,7 +51,7 @@ SELECT
  CASE WHEN CAST(floor(b.event_id / 5) AS BIGINT) % 6 >= 4 THEN CAST(0 AS DOUBLE) ELSE CAST((b.event_id % 18) * 5 + 10 AS DOUBLE) / CAST(100 AS DOUBLE) END AS confidence_score,
  'draft ' || CAST(b.event_id AS STRING) AS ai_draft,
  CASE WHEN CAST(floor(b.event_id / 5) AS BIGINT) % 6 = 1 THEN 1 ELSE 0 END AS auto_sent
-FROM b JOIN documents d ON d.doc_id = b.did
+FROM b JOIN documents d ON d.doc_id = b.did JOIN benchmark s ON s.item_id = b.sid
 """
 
 VIEWS["raw_messages"] = """
@@ -107,7 +107,7 @@ FROM events
 """
 
 VIEWS["kb_queries"] = """
-SELECT conv_id * 100 + turn AS q_id, text FROM conversations WHERE role = 'user'
+SELECT conv_id * 100 + turn AS q_id, text, role FROM conversations
 """
 
 VIEWS["raw_mail"] = """
