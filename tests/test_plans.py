@@ -37,9 +37,20 @@ def test_kb_listing_prunes_content(stored):
     assert "content" not in p.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_recent_activity_limits_before_join(fx):
-    p = _plan(A.recent_activity(fx.activity_log, fx.emails))
-    assert "TakeOrderedAndProject" in p
+def test_recent_activity_does_not_move_messages(spark, stored, fx):
+    emails, _ = stored
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = _plan(A.recent_activity(fx.activity_log, emails))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "TakeOrderedAndProject" in p and "SortMergeJoin" not in p
+    # from the message scan up to the semi join with the broadcast ids, no exchange
+    semi = next(line for line in p.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" in line)
+    below = p[p.index(semi) + len(semi):]
+    scan = below.index("FileScan parquet")
+    assert "Exchange" not in below[:scan]
 
 
 def test_dashboard_is_one_pass_and_jvm_only(stored, fx):
@@ -49,22 +60,15 @@ def test_dashboard_is_one_pass_and_jvm_only(stored, fx):
     assert "Python" not in p and "MapInPandas" not in p
 
 
-def test_join_strategy_has_no_pair_exchange(spark, fx):
-    idx = KB.kb_index(KB.chunk(fx.kb_sources))
-    df = S.search(fx.kb_queries, idx, ["q_id"], strategy="broadcast_queries")
-    df.collect()
+def test_search_collects_and_broadcasts_nothing(spark, fx, monkeypatch):
+    """Planning a search starts no job, and its plan has no broadcast."""
+    from pyspark.sql import DataFrame
+    for name in ("collect", "toArrow", "toPandas", "count", "first", "take"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, **k: pytest.fail("a search ran a job while it was planned"))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: pytest.fail("a search broadcast a Python value"))
+    df = S.search(fx.kb_queries, KB.kb_index(KB.chunk(fx.kb_sources)), ["q_id"])
     p = _plan(df)
-    # between the token join and the per-pair sum there is no shuffle
-    seg = p.split("BroadcastHashJoin")[0]
-    agg_to_join = seg[seg.rfind("HashAggregate"):]
-    assert "Exchange" not in agg_to_join
-
-
-def test_kernel_is_the_only_python_step(spark, fx):
-    idx = KB.kb_index(KB.chunk(fx.kb_sources))
-    p = _plan(S.search(fx.kb_queries, idx, ["q_id"]))
-    assert "MapInPandas" in p
-    assert "BatchEvalPython" not in p          # no row-at-a-time Python UDF
+    assert "FlatMapCoGroupsInArrow" in p and "Broadcast" not in p and "BatchEvalPython" not in p
 
 
 @pytest.mark.parametrize("parts", [1, 64])

@@ -77,3 +77,55 @@ def test_daily_volume_late_data_and_watermark(spark):
     # rows older than the watermark may or may not be.
     assert got.pop("2024-01-12", 1) == 1
     assert got == {"2024-01-10": 2, "2024-01-15": 1, "2024-01-14": 1}
+
+
+def test_triage_stream_sees_changed_tables(spark):
+    """Messages and passages come and go between batches. Every response ends
+    in state, pending or dead letter; a pending one is taken up later."""
+    import datetime as dt
+    at = dt.datetime(2024, 1, 10)
+    message = "id string, message_id string, sender_name string, sender_email string, subject string, text_body string, html_body string, received_at timestamp_ntz"
+    chunk = "id string, upload_id long, name string, file_type string, content string, chunk_index int, department string, created_at timestamp_ntz"
+    rows = lambda *ids: spark.createDataFrame(
+        [(i, f"<{i}>", "", "a@b", f"about zebra {i}", "body " * 20, "", at) for i in ids], message)
+    kb = lambda *names: spark.createDataFrame(
+        [(n, k, n, "text", "zebra passage", 0, "general", at) for k, n in enumerate(names)], chunk)
+    dep = spark.createDataFrame([(1, "d", "Support", "x", "t", "s", 0.95)],
+                                "ord int, id string, name string, description string, tone string, signature string, auto_send_threshold double")
+    base, src = scratch_path(spark, "t-triage"), scratch_path(spark, "t-triage-src")
+    emails, chunks = f"{base}/emails", f"{base}/chunks"
+    full = '{"intent":"order_status","department":"Support","sentiment":"neutral","urgency":"low"}'
+
+    def respond(*pairs):
+        spark.createDataFrame(list(pairs), J.RESPONSE_DDL).repartition(1).write.mode("append").parquet(src)
+
+    def run():
+        tables = lambda: J.TriageTables(spark.read.parquet(emails), spark.read.parquet(chunks), dep)
+        q = J.stream_triage(J.file_stream(spark, src, J.RESPONSE_DDL), tables, base, f"{base}/ck")
+        q.awaitTermination()
+        assert q.exception() is None and not spark.sparkContext._jsc.getPersistentRDDs()
+
+    spark.catalog.clearCache()
+    rows("m1", "m2").write.parquet(emails)
+    kb("k1").write.parquet(chunks)
+    respond(("m1", full), ("m2", "[1]"), ("late", full), ("never", full))
+    run()
+    rows("late", "m3").write.mode("append").parquet(emails)
+    kb().write.mode("overwrite").parquet(chunks)  # the passage is deleted
+    respond(("m3", full))
+    run()
+    state = {r.id: r for r in J.latest(spark.read.parquet(f"{base}/state"), ["id"]).collect()}
+    assert {i: (r.status, r.has_kb) for i, r in state.items()} == {
+        "m1": ("auto_sent", True), "m2": ("failed", False), "late": ("pending_approval", False), "m3": ("pending_approval", False)}
+    assert [r.email_id for r in spark.read.parquet(f"{base}/dead").collect()] == ["m2"]
+    assert [r.email_id for r in spark.read.parquet(f"{base}/pending/batch_id=1").collect()] == ["never"]
+
+
+def test_only_a_missing_table_counts_as_empty(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+    assert J.read_or_empty(spark, scratch_path(spark, "nothing"), "a long").count() == 0
+    path = scratch_path(spark, "t-there")
+    spark.range(1).write.parquet(path)
+    with pytest.raises(AnalysisException):
+        J.read_or_empty(spark, path, "id long, id long").count()
