@@ -13,10 +13,21 @@ FANOUT_BYTES = 32 << 20
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the scans of a plan read, from their statistics: no job runs.
     Leaves without statistics (rows of a micro-batch) report the largest number
-    there is and count as nothing."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(s for s in sizes if s < 1 << 60)
+    there is and count as nothing; a cached table counts as what it was made
+    from, since its own size is a guess until it is filled."""
+    return _scanned(df._jdf.queryExecution().optimizedPlan())
+
+
+def _scanned(plan) -> int:
+    leaves, total = plan.collectLeaves(), 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "InMemoryRelation":
+            total += _scanned(leaf.cacheBuilder().logicalPlan())
+        else:
+            size = int(str(leaf.stats().sizeInBytes()))
+            total += size if size < 1 << 60 else 0
+    return total
 
 
 def fanout_partitions(df: DataFrame, each: int = FANOUT_BYTES) -> int:
