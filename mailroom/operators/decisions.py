@@ -20,21 +20,11 @@ earlier buckets is a window over one row per (message, bucket).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SEQ_BUCKETS_PER_PARTITION = 4
-
-
-def _seq_bucket_width(decisions: DataFrame) -> int:
-    b = decisions.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    if b is None or b["lo"] is None:
-        return 1
-    spark = decisions.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * SEQ_BUCKETS_PER_PARTITION
-    return max(1, math.ceil((b["hi"] - b["lo"] + 1) / buckets))
+# Decisions of one message that meet in a window: those of this many numbers.
+SEQ_WIDTH = 4096
 
 
 def draft_as_of(approvals: DataFrame, regens: DataFrame, width: int) -> DataFrame:
@@ -63,7 +53,7 @@ def draft_as_of(approvals: DataFrame, regens: DataFrame, width: int) -> DataFram
                       pick.isNotNull().alias("_has_regen"))
 
 
-def apply_decisions(emails: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_decisions(emails: DataFrame, decisions: DataFrame, seq_width: int = SEQ_WIDTH) -> tuple[DataFrame, DataFrame]:
     """-> (new message state, activity rows).
 
     When ``emails`` already carries ``final_reply``, ``replied_at`` and
@@ -73,10 +63,9 @@ def apply_decisions(emails: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     prior = [F.col(c).alias(f"_prev_{c}") for c in carried]
     e = emails.select("id", "status", "ai_draft", "auto_sent", *prior)
     known = decisions.join(e.select(F.col("id").alias("email_id")), "email_id", "left_semi")
-    width = _seq_bucket_width(known)
     approvals = known.filter(F.col("action") == "approve")
     regens = known.filter(F.col("action") == "regenerate")
-    asof = draft_as_of(approvals, regens, width)
+    asof = draft_as_of(approvals, regens, seq_width)
     orig = e.select(F.col("id").alias("email_id"), F.col("ai_draft").alias("_orig"))
     ap = (approvals.join(asof, ["email_id", "seq"], "left").join(orig, "email_id", "left")
           .withColumn("_draft", F.when(F.col("_has_regen"), F.col("draft_asof")).otherwise(F.col("_orig"))))

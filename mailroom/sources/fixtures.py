@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ingest import SEED_DEPARTMENTS
 from ..session import prepare
 from .tables import BASE_SCHEMAS, register_base
 
@@ -22,12 +23,21 @@ SMTP_USER = "support@example.com"
 # Ordered: each view may read the ones before it.
 VIEWS: dict[str, str] = {}
 
-VIEWS["departments"] = """
+# The seeded departments, one line each, with one threshold that auto-send meets.
+_THRESHOLDS = {"Sales": 0.8}
+
+
+def _department_rows() -> str:
+    rows = []
+    for ord_, ident, name, *texts, threshold in SEED_DEPARTMENTS:
+        quoted = ", ".join("'" + t.replace("\n", " ").replace("'", "''") + "'" for t in (ident, name, *texts))
+        rows.append(f" ({ord_}, {quoted}, CAST({_THRESHOLDS.get(name, threshold)} AS DOUBLE))")
+    return ",\n".join(rows)
+
+
+VIEWS["departments"] = f"""
 SELECT * FROM (VALUES
- (1, 'dept_support', 'Support', 'Customer support and technical issues', 'friendly', 'Best regards, Support Team', CAST(0.95 AS DOUBLE)),
- (2, 'dept_billing', 'Billing', 'Payments, invoices, and refunds', 'professional', 'Kind regards, Billing Team', CAST(0.95 AS DOUBLE)),
- (3, 'dept_sales', 'Sales', 'New business and partnerships', 'enthusiastic', 'Looking forward to hearing from you, Sales Team', CAST(0.8 AS DOUBLE)),
- (4, 'dept_general', 'General', 'General inquiries', 'professional', 'Best regards, Team', CAST(0.95 AS DOUBLE))
+{_department_rows()}
 ) AS t(ord, id, name, description, tone, signature, auto_send_threshold)
 """
 
