@@ -2,7 +2,7 @@
 
 ``line_dedup(docs)`` returns ``docs`` with every repeated multi-line chunk cut
 out of ``text`` but for its first occurrence in the corpus, ``n_chars`` set to
-the new length (if there is such a column), and ``n_removed`` (long): the chunks
+the new length (if there is such a column), and ``n_removed`` (long): the lines
 cut out of the row's text.
 
 How it works
@@ -17,13 +17,21 @@ How it works
      border beyond them, and a passage is cut alike wherever it was pasted. Two
      minima are never adjacent, so chunks have two lines or more (the first and
      the last of a text may have one).
-  3. Chunks are counted by a 64-bit hash (partial aggregate: a chunk held by a
-     third of all rows is one row after the map side). Only those that repeat go
-     on, with their text; they are grouped by hash *and bytes*, so equal means
-     equal. The occurrence with the smallest (doc_id, row, position) stays.
-  4. A single-line chunk, and one of fewer than ``min_words`` words, never goes:
-     short lines recur by chance. Occurrences are joined to the few repeated
-     chunks with a salt, and each row gets the set of positions to cut.
+  3. Chunks are grouped by a 64-bit hash (partial aggregate: a chunk held by a
+     third of all rows is one row after the map side), which counts them, finds the
+     occurrence with the smallest (doc_id, row, line), which stays, and
+     compares their *bytes*: the smallest and the largest text of a hash are one
+     text, or else the hash stands for several, which are then grouped by
+     hash and text.
+  4. A shared passage rarely begins and ends at chunk borders. So the first
+     occurrence of a chunk brings the 64-bit hashes of the ``REACH`` lines before
+     and after it, and what is cut elsewhere grows from the verified chunk outward
+     over lines that equal these. Lines are only cut for equal ones at an earlier
+     place, so the first place of every line stays.
+  5. A single-line chunk, and one of fewer than ``min_words`` words, never goes:
+     short lines recur by chance. Occurrences (without text) are joined to the
+     repeated chunks with a salt, and each row gets the set of lines to cut.
+     Texts move twice in all: to be compared, and to meet their lines.
 
 Defined cases: null texts stay null, and empty ones empty; a text whose chunks
 all go becomes empty, its row stays; a row with a null doc_id sorts first;
@@ -40,18 +48,32 @@ from pyspark.sql import functions as F
 from .util import ready, salt_of, salted, stored
 
 MIN_WORDS = 12
+REACH = 2
 _CUT = r"(?<=\n)|(?<=[.!?]\x20)"
+_MARK = "\x01"
 
 
 def _lines(text):
-    return F.split(text, _CUT)
+    """Lines with their separators: a control character is put after each and
+    split at, which is much cheaper than the pattern; texts that hold that
+    character are split by the pattern."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    fast = F.split(marked, _MARK, -1)
+    return F.when(F.instr(text, _MARK) > 0, F.split(text, _CUT, -1)).otherwise(fast)
+
+
+def _hashes(lines: str):
+    return F.transform(lines, lambda x: F.xxhash64(F.rtrim(F.rtrim(x, F.lit("\n")))))
 
 
 def chunked(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``_ld_lines``, the lines of the text, and ``_ld_ends``, the
-    number of lines before the end of each chunk, ascending."""
+    """``df`` with ``_ld_lines``, the lines of the text, ``_ld_hash``, their
+    hashes, and ``_ld_ends``, the number of lines before the end of each chunk,
+    ascending."""
     df = df.withColumn("_ld_lines", _lines(F.col(text)))
-    df = df.withColumn("_ld_hash", F.transform("_ld_lines", lambda x: F.xxhash64(F.rtrim(F.rtrim(x, F.lit("\n"))))))
+    df = df.withColumn("_ld_hash", _hashes("_ld_lines"))
     # roll[i]: over lines i - 1 and i (0-based); the first line rolls alone
     rolled = F.zip_with(F.col("_ld_hash"), F.concat(F.array(F.lit(0).cast("long")), F.col("_ld_hash")),
                         lambda a, b: F.xxhash64(a, b))
@@ -65,62 +87,84 @@ def chunked(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_ld_flags", flags)
     ends = F.array_union(F.array_remove(F.col("_ld_flags"), F.lit(-1)), F.array(n))
     df = df.withColumn("_ld_ends", F.when(n > 0, ends).otherwise(F.array().cast("array<int>")))
-    return df.drop("_ld_hash", "_ld_roll", "_ld_flags")
+    return df.drop("_ld_roll", "_ld_flags")
 
 
-def _chunks(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each chunk: ``keep``, _ld_pos (from 0), _ld_first, _ld_text
-    (its lines without white space at the end) and whether it may go."""
+def _chunks(df: DataFrame, min_words: int) -> DataFrame:
+    """One row for each chunk that may go: _ld_key, _ld_text (its lines without
+    white space at the end), _ld_at: doc_id, row, first line and line after the
+    last, and _ld_near: hashes of the lines before (nearest first) and after."""
     begin = F.concat(F.array(F.lit(0)), F.col("_ld_ends"))
     span = F.arrays_zip(F.slice(begin, 1, F.size("_ld_ends")).alias("b"), F.col("_ld_ends").alias("e"))
-    chunk = F.transform(span, lambda s, i: F.struct(
-        i.alias("pos"), (s["e"] - s["b"]).alias("lines"),
-        F.regexp_replace(F.array_join(F.slice("_ld_lines", s["b"] + 1, s["e"] - s["b"]), ""), r"[\n\x20]+\z", "").alias("text")))
-    rows = df.select(*keep, F.explode(chunk).alias("c"))
-    return rows.where("c.lines > 1").select(*keep, F.col("c.pos").alias("_ld_pos"), F.col("c.text").alias("_ld_text"))
+    chunk = F.transform(F.filter(span, lambda s: s["e"] - s["b"] > 1), lambda s: F.struct(
+        s["b"].alias("b"), s["e"].alias("e"),
+        F.regexp_replace(F.array_join(F.slice("_ld_lines", s["b"] + 1, s["e"] - s["b"]), ""), r"[\n\x20]+\z", "").alias("text"),
+        F.struct(*_near(F.col("_ld_hash"), s["b"], s["e"])).alias("near")))
+    rows = df.select("doc_id", "_ld_row", F.explode(chunk).alias("c"))
+    rows = rows.where(F.size(F.split("c.text", r"[\n\x20]+")) >= min_words)
+    return rows.select(F.xxhash64("c.text").alias("_ld_key"), F.col("c.text").alias("_ld_text"),
+                       F.struct("doc_id", "_ld_row", "c.b", "c.e").alias("_ld_at"), F.col("c.near").alias("_ld_near"))
+
+
+def _near(hashes, b, e):
+    """Hashes of up to REACH lines before line b, nearest first, and from e on."""
+    return (F.reverse(F.slice(hashes, F.greatest(b - (REACH - 1), F.lit(1)), F.least(b, F.lit(REACH)))).alias("before"),
+            F.slice(hashes, e + 1, F.lit(REACH)).alias("after"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """See the module's text. ``docs``: doc_id (long), text, other columns."""
     ready(docs.sparkSession)
-    # a row's number tells repeated doc_ids apart; the input is written once, so every pass sees the same numbers
+    # a row's number tells repeated doc_ids apart; passes over a table of files number its rows alike
     rows = docs.withColumn("_ld_row", F.monotonically_increasing_id())
     cut = chunked(rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''"))
-    chunks = _chunks(cut, ["doc_id", "_ld_row"])
-    chunks = chunks.where(F.size(F.split("_ld_text", r"[\n\x20]+")) >= min_words)
-    keyed = stored(chunks.select("doc_id", "_ld_row", "_ld_pos", F.xxhash64("_ld_text").alias("_ld_key")), "ld-keys")
-    often = keyed.groupBy("_ld_key").agg(F.count("*").alias("n")).where("n > 1").select("_ld_key")
-
-    # the text of chunks that repeat: positions go to the rows, not all texts to the chunks
-    seen = (keyed.withColumn("_salt", salt_of("_ld_row", "_ld_pos")).join(salted(often), ["_ld_key", "_salt"])
-            .groupBy("_ld_row").agg(F.collect_set("_ld_pos").alias("_ld_want")))
-    texts = stored(_wanted(rows, seen), "ld-texts")
-    order = F.struct("doc_id", "_ld_row", "_ld_pos")
-    groups = texts.groupBy("_ld_key", "_ld_text").agg(F.count("*").alias("n"), F.min(order).alias("_ld_keep")).where("n > 1")
-    gone = (texts.withColumn("_salt", salt_of("_ld_row", "_ld_pos"))
-            .join(salted(groups.drop("n")), ["_ld_key", "_ld_text", "_salt"])
-            .where(~order.eqNullSafe(F.col("_ld_keep")))
-            .groupBy("_ld_row").agg(F.collect_set("_ld_pos").alias("_ld_gone")))
+    chunks = _chunks(cut, min_words)
+    keyed = stored(chunks.select("_ld_key", "_ld_at"), "ld-keys")  # no texts
+    keep = F.min(F.struct("_ld_at", "_ld_near")).alias("_ld_keep")
+    seen = stored(chunks.groupBy("_ld_key").agg(F.count("*").alias("n"), keep, F.min("_ld_text").alias("low"), F.max("_ld_text").alias("high"))
+                  .where("n > 1").select("_ld_key", "_ld_keep", (F.col("low") == F.col("high")).alias("same")), "ld-seen")
+    gone = _later(keyed, seen.where("same").select("_ld_key", "_ld_keep"), ["_ld_key"])
+    if not (clash := seen.where("NOT same").select("_ld_key")).isEmpty():
+        texts = chunks.join(clash, "_ld_key", "left_semi")
+        several = texts.groupBy("_ld_key", "_ld_text").agg(keep)
+        gone = gone.union(_later(texts.drop("_ld_near"), several, ["_ld_key", "_ld_text"]))
+    gone = gone.groupBy("_ld_row").agg(F.collect_list("_ld_cut").alias("_ld_gone"))
     return _without(rows, stored(gone, "ld-gone"), docs.columns)
 
 
-def _wanted(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    df = chunked(rows.select("doc_id", "_ld_row", "text").join(seen, "_ld_row"))
-    c = _chunks(df, ["doc_id", "_ld_row", "_ld_want"]).where(F.array_contains("_ld_want", F.col("_ld_pos")))
-    return c.select("doc_id", "_ld_row", "_ld_pos", F.xxhash64("_ld_text").alias("_ld_key"), "_ld_text")
+def _alike(a, b):
+    """How many leading elements of two arrays are equal."""
+    n = F.least(F.size(a), F.size(b))
+    same = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y)
+    first = F.array_position(same, F.lit(False)).cast("int")
+    return F.when(first > 0, first - 1).otherwise(n)
+
+
+def _later(occurrences: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(row, chunk to cut: b, e, lines near the first occurrence) of the
+    occurrences that are not their group's first."""
+    j = occurrences.withColumn("_salt", salt_of("_ld_at")).join(salted(groups), [*keys, "_salt"])
+    j = j.where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep._ld_at")))
+    return j.select("_ld_at._ld_row", F.struct("_ld_at.b", "_ld_at.e", "_ld_keep._ld_near.before", "_ld_keep._ld_near.after").alias("_ld_cut"))
 
 
 def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    j = rows.join(gone, "_ld_row", "left")
-    cut = chunked(j.where("_ld_gone is not null"))
-    begin = F.concat(F.array(F.lit(0)), F.col("_ld_ends"))
-    span = F.arrays_zip(F.slice(begin, 1, F.size("_ld_ends")).alias("b"), F.col("_ld_ends").alias("e"))
-    kept = F.array_join(F.filter(F.transform(span, lambda s, i: F.when(
-        ~F.array_contains("_ld_gone", i), F.array_join(F.slice("_ld_lines", s["b"] + 1, s["e"] - s["b"]), ""))),
-        lambda x: x.isNotNull()), "")
-    cut = cut.withColumn("_ld_new", kept)
+    # always by sort-merge: the same plan for few and for many rows to change
+    j = rows.join(gone.hint("merge"), "_ld_row", "left")
+    cut = j.withColumn("_ld_lines", F.when(F.col("_ld_gone").isNotNull(), _lines(F.col("text"))))
+    cut = cut.withColumn("_ld_hash", _hashes("_ld_lines"))
+
+    def reach(c):
+        before, after = _near(F.col("_ld_hash"), c["b"], c["e"])
+        return F.sequence(c["b"] - _alike(before, c["before"]), c["e"] - 1 + _alike(after, c["after"]))
+
+    cut = cut.withColumn("_ld_lost", F.array_distinct(F.flatten(F.transform("_ld_gone", reach)))).drop("_ld_hash")
+    cut = cut.withColumn("_ld_stay", F.when(F.col("_ld_gone").isNotNull(), F.array_except(
+        F.sequence(F.lit(0), F.size("_ld_lines") - 1), "_ld_lost")))
+    cut = cut.withColumn("_ld_new", F.array_join(F.transform("_ld_stay", lambda i: F.get("_ld_lines", i)), ""))
     out = {"text": F.coalesce("_ld_new", "text")}
     if "n_chars" in columns:
-        out["n_chars"] = F.length(F.coalesce("_ld_new", "text")).cast(rows.schema["n_chars"].dataType)
-    cut = cut.select(*[out.get(c, F.col(c)).alias(c) for c in columns], F.size("_ld_gone").cast("long").alias("n_removed"))
-    return cut.unionByName(j.where("_ld_gone is null").select(*columns, F.lit(0).cast("long").alias("n_removed")))
+        out["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(
+            F.length("_ld_new")).cast(rows.schema["n_chars"].dataType)
+    removed = F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(F.size("_ld_lost")).cast("long")
+    return cut.select(*[out.get(c, F.col(c)).alias(c) for c in columns], removed.alias("n_removed"))
