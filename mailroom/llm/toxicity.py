@@ -20,8 +20,9 @@ Model
   the highest window, fitted on the labelled texts, turns it into the score.
 
 Training reads at most ``SAMPLE`` labelled documents of each label (documented
-bound, those with the smallest hash of doc_id) and at most ``WORDS_EACH`` words
-of each window choice; scoring reads every word of every document.
+bound, those with the smallest hash of doc_id) of at most ``LONGEST`` characters,
+and of one that is not toxic at most ``WORDS_EACH`` words in windows chosen from
+all over it; scoring reads every word of every document.
 
 Scoring is linear: a word adds (sum of its rows' softmax weights, number of its
 rows) to each window it is in, so a worker computes a word once and remembers it
@@ -46,15 +47,16 @@ from pyspark.sql import functions as F
 from .util import ready
 from .words import WORDS
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # at most: rows are numbered in 16 bits
 DIM = 12
 WINDOW = 5
 SAMPLE = 2500
+LONGEST = 100_000
 WORDS_EACH = 400
 THRESHOLD = 0.3
 LOT = 384
 _GRAMS = (3, 4, 5)
-_REMEMBER = 400_000
+_REMEMBER = 150_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -120,10 +122,8 @@ class Model:
         return {**self.__dict__, "_known": {}}
 
     def _learn(self, tokens: set[str]) -> None:
-        if len(self._known) + len(tokens) > _REMEMBER:
-            self._known.clear()
-        for s in range(0, len(new := sorted(tokens)), 100_000):
-            part = new[s:s + 100_000]
+        for s in range(0, len(new := sorted(tokens)), 20_000):
+            part = new[s:s + 20_000]
             f, off = subwords(part)
             total = np.add.reduceat(self.weight[f], off[:-1])
             for w, t, n in zip(part, total.tolist(), np.diff(off).tolist(), strict=True):
@@ -139,10 +139,10 @@ class Model:
             for s in range(0, len(tokens), 200_000):  # a stretch at a time, overlapping by a window
                 part = tokens[s:s + 200_000 + WINDOW - 1]
                 new = set(part).difference(self._known)
-                if new:
-                    self._learn(new)
-                    if any(w not in self._known for w in part):  # the table was emptied
-                        self._learn(set(part).difference(self._known))
+                if len(self._known) + len(new) > _REMEMBER:
+                    self._known.clear()
+                    new = set(part)
+                self._learn(new)
                 v = np.array([self._known[w] for w in part])
                 out[i] = max(out[i], float(self._windows(v).max()))
         return out
@@ -166,23 +166,33 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 4, steps: int
     y_doc = np.array(toxic, np.int64)
     if len(set(y_doc.tolist())) < 2:
         return Model(np.zeros(BUCKETS))
-    split = [tokens_of(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for s in split for w in s}))}
-    feats, off = subwords(list(vocabulary))
-    count = np.diff(off)
-    # windows: WINDOW words each, every word in one window here (stride WINDOW)
-    wins, owner = [], []
-    for d, s in enumerate(split):
-        ids = [vocabulary[w] for w in s]
-        begin = list(range(0, len(ids), WINDOW))
+    # windows of WINDOW words, one after the other; of a text that is not toxic, a bounded choice
+    vocabulary: dict[str, int] = {}
+    ids, owner, size = [], [], []
+    for d, t in enumerate(texts):
+        words = tokens_of(t)
+        begin = range(0, len(words), WINDOW)
         if y_doc[d] == 0 and len(begin) > WORDS_EACH // WINDOW:
-            begin = sorted(rng.choice(begin, WORDS_EACH // WINDOW, replace=False).tolist())
+            begin = np.sort(rng.choice(len(begin), WORDS_EACH // WINDOW, replace=False)) * WINDOW
         for b in begin:
-            wins.append(ids[b:b + WINDOW])
-            owner.append(d)
-    owner = np.array(owner, np.int64)
-    size = np.array([len(w) for w in wins])
-    flat, start = np.concatenate(wins), np.concatenate([[0], np.cumsum(size)])
+            part = words[b:b + WINDOW]
+            ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in part), np.int32, len(part)))
+        owner.append(np.full(len(begin), d, np.int32))
+        size.append(np.minimum(WINDOW, len(words) - np.asarray(begin, np.int64)))
+    if not ids:
+        return Model(np.zeros(BUCKETS))
+    owner, size, flat = np.concatenate(owner), np.concatenate(size), np.concatenate(ids)
+    start = np.concatenate([[0], np.cumsum(size)])
+    del ids
+    feats, count = [], []
+    words = list(vocabulary)
+    for s in range(0, len(words), 20_000):
+        f, o = subwords(words[s:s + 20_000])
+        feats.append(f.astype(np.uint16))
+        count.append(np.diff(o))
+    del vocabulary, words
+    feats, count = np.concatenate(feats), np.concatenate(count)
+    off = np.concatenate([[0], np.cumsum(count)])
 
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     soft = rng.normal(0, 0.1, DIM)
@@ -226,7 +236,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 4, steps: int
                 g_bias += db * db
                 bias -= lr * db / np.sqrt(g_bias)
         model = Model(emb @ soft, float(bias))
-        total = np.add.reduceat(model.weight[feats], off[:-1])
+        total = np.add.reduceat(model.weight[feats], off[:-1])  # of each word
         z = np.add.reduceat(total[flat], start[:-1]) / np.add.reduceat(count[flat], start[:-1])
         # toxic texts keep their highest window, and others nearly as high
         best = np.full(len(texts), -np.inf)
@@ -234,8 +244,8 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 4, steps: int
         spread = z.std() + 1e-9
         keep = (target > 0) & (z >= best[owner] - 0.5 * spread)
         use = (target == 0) | keep
-    highest = model.evidence(texts)
-    model.slope, model.shift = _curve(highest, y_doc)
+    model.slope, model.shift = _curve(model.evidence(texts), y_doc)
+    model._known.clear()
     return model
 
 
@@ -269,17 +279,28 @@ def held_out(doc_id) -> object:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents of each label."""
+    """Train on at most ``sample`` labelled documents of each label, in one
+    task: texts stay on the executors, and the driver gets the model's numbers."""
     ready(docs.sparkSession)
     usable = labels.where("doc_id is not null").where(~held_out("doc_id")).select("doc_id", "toxic")
-    texts, toxic = [], []
+    short = docs.select("doc_id", "text").where(F.length("text") <= LONGEST)
+    picked = []
     for label in (0, 1):
         ids = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         # at most ``sample`` ids: a broadcast of bounded size; documents are not shuffled
-        got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
-        texts += [r["text"] for r in got]
-        toxic += [label] * len(got)
-    return train(texts, toxic)
+        got = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
+        picked.append(got.select("doc_id", "text", "toxic"))
+    row = picked[0].union(picked[1]).repartition(1).mapInArrow(_train_task, "weight binary, bias double, slope double, shift double").first()
+    if row is None:
+        return Model(np.zeros(BUCKETS))
+    return Model(np.frombuffer(bytes(row["weight"]), np.float64), row["bias"], row["slope"], row["shift"])
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("toxic", "doc_id", "text")), strict=True)]
+    rows.sort()  # the same order whichever way the rows came
+    m = train([r[2] for r in rows], [r[0] for r in rows])
+    yield pa.RecordBatch.from_pydict({"weight": [m.weight.astype(np.float64).tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
