@@ -24,14 +24,24 @@ How it works
      text, or else the hash stands for several, which are then grouped by
      hash and text.
   4. A shared passage rarely begins and ends at chunk borders. So the first
-     occurrence of a chunk brings the 64-bit hashes of the ``REACH`` lines before
-     and after it, and what is cut elsewhere grows from the verified chunk outward
-     over lines that equal these. Lines are only cut for equal ones at an earlier
-     place, so the first place of every line stays.
+     occurrence of a chunk brings the 64-bit hashes of the lines before and after
+     it, on either side until they have ``LONG`` words, and what is cut elsewhere
+     grows from the verified chunk outward over lines that equal these, until the
+     lines differ. Lines are only cut for equal ones at an earlier place, so the
+     first place of every line stays.
   5. A single-line chunk, and one of fewer than ``min_words`` words, never goes:
      short lines recur by chance. Occurrences (without text) are joined to the
      repeated chunks with a salt, and each row gets the set of lines to cut.
      Texts move twice in all: to be compared, and to meet their lines.
+  6. A passage of few lines may hold no whole chunk, so every run of lines of
+     ``LONG`` words or more is searched for as well. Its *windows* are the
+     shortest runs of that many words from each of its lines on, and up to each;
+     they cover it, and they do not depend on what stands around it. A line of
+     ``LONG`` words is a window of its own. Blank lines do not count. A window is
+     known by 96 bits, hashes of its lines' hashes. Windows travel in groups, by
+     their smallest line hash (the *anchor*), and only those whose anchor recurs
+     are compared. So a line goes exactly if it is in a run of ``LONG`` words
+     that an earlier place holds, too, or in a repeated chunk of 3 and 4.
 
 Defined cases: null texts stay null, and empty ones empty; a text whose chunks
 all go becomes empty, its row stays; a row with a null doc_id sorts first;
@@ -48,7 +58,8 @@ from pyspark.sql import functions as F
 from .util import ready, salt_of, salted, stored
 
 MIN_WORDS = 12
-REACH = 2
+LONG = 51  # words: runs of lines with over 50 are found wherever they stand
+REACH = 2 ** 31 - 1  # lines that a cut may grow over: no bound, beyond LONG words the windows go on
 _CUT = r"(?<=\n)|(?<=[.!?]\x20)"
 _MARK = "\x01"
 
@@ -64,6 +75,12 @@ def _lines(text):
     return F.when(F.instr(text, _MARK) > 0, F.split(text, _CUT, -1)).otherwise(fast)
 
 
+def _part(array: str, begin, end):
+    """Elements begin (0-based) to end (exclusive); slice() copies a whole array that was read."""
+    return F.when(end > begin, F.transform(F.sequence(begin, end - 1), lambda i: F.get(array, i))).otherwise(
+        F.transform(F.array().cast("array<int>"), lambda i: F.get(array, i)))
+
+
 def _hashes(lines: str):
     return F.transform(lines, lambda x: F.xxhash64(F.rtrim(F.rtrim(x, F.lit("\n")))))
 
@@ -90,26 +107,113 @@ def chunked(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_ld_roll", "_ld_flags")
 
 
-def _chunks(df: DataFrame, min_words: int) -> DataFrame:
-    """One row for each chunk that may go: _ld_key, _ld_text (its lines without
-    white space at the end), _ld_at: doc_id, row, first line and line after the
-    last, and _ld_near: hashes of the lines before (nearest first) and after."""
+def _spans(min_words: int):
+    """The chunks that may go, as an array of key, b (first line), e (line after
+    the last) and text (its lines without white space at the end)."""
     begin = F.concat(F.array(F.lit(0)), F.col("_ld_ends"))
     span = F.arrays_zip(F.slice(begin, 1, F.size("_ld_ends")).alias("b"), F.col("_ld_ends").alias("e"))
     chunk = F.transform(F.filter(span, lambda s: s["e"] - s["b"] > 1), lambda s: F.struct(
         s["b"].alias("b"), s["e"].alias("e"),
-        F.regexp_replace(F.array_join(F.slice("_ld_lines", s["b"] + 1, s["e"] - s["b"]), ""), r"[\n\x20]+\z", "").alias("text"),
-        F.struct(*_near(F.col("_ld_hash"), s["b"], s["e"])).alias("near")))
-    rows = df.select("doc_id", "_ld_row", F.explode(chunk).alias("c"))
-    rows = rows.where(F.size(F.split("c.text", r"[\n\x20]+")) >= min_words)
-    return rows.select(F.xxhash64("c.text").alias("_ld_key"), F.col("c.text").alias("_ld_text"),
-                       F.struct("doc_id", "_ld_row", "c.b", "c.e").alias("_ld_at"), F.col("c.near").alias("_ld_near"))
+        F.regexp_replace(F.array_join(F.slice("_ld_lines", s["b"] + 1, s["e"] - s["b"]), ""), r"[\n\x20]+\z", "").alias("text")))
+    chunk = F.filter(chunk, lambda c: F.size(F.split(c["text"], r"[\n\x20]+")) >= min_words)
+    return F.transform(chunk, lambda c: F.struct(F.xxhash64(c["text"]).alias("key"), c["b"].alias("b"), c["e"].alias("e"), c["text"].alias("text")))
+
+
+def _at(chunk: str):
+    return F.struct("doc_id", "_ld_row", f"{chunk}.b", f"{chunk}.e").alias("_ld_at")
+
+
+def _chunks(df: DataFrame, min_words: int) -> DataFrame:
+    """One row for each chunk that may go: _ld_key, _ld_text and _ld_at."""
+    rows = df.select("doc_id", "_ld_row", F.explode(_spans(min_words)).alias("c"))
+    return rows.select(F.col("c.key").alias("_ld_key"), F.col("c.text").alias("_ld_text"), _at("c"))
+
+
+def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``groups`` (keys, _ld_keep) with _ld_near: hashes of the lines before the
+    first occurrence, nearest first, and after it, until they have LONG words."""
+    of = F.struct(*keys, "_ld_keep")
+    firsts = groups.groupBy(F.col("_ld_keep._ld_row").alias("_ld_row")).agg(F.collect_list(of).alias("_ld_of"))
+    j = lines.select("_ld_row", "_ld_hash", "_ld_words").join(firsts, "_ld_row")
+
+    def lines_of(some):  # words in the upper bits, lines in the lower
+        got = F.aggregate(some, F.lit(0).cast("long"), lambda got, n: F.when(got < LONG << 32, got + n.cast("long") * 2 ** 32 + 1).otherwise(got))
+        return (got % 2 ** 32).cast("int")
+
+    def until(some, rest):
+        """Lines of ``some`` that have LONG words, looked for in ``rest``, all lines, if these have not."""
+        few = F.when(F.aggregate(some, F.lit(0), lambda a, n: a + n) >= LONG, some).otherwise(rest)
+        return lines_of(few)
+
+    def near(g):
+        b, e = g["_ld_keep"]["b"], g["_ld_keep"]["e"]
+        low = F.greatest(b - 16, F.lit(0))
+        n = F.size("_ld_words")
+        back = until(F.reverse(_part("_ld_words", low, b)), F.reverse(_part("_ld_words", F.lit(0), b)))
+        on = until(_part("_ld_words", e, F.least(e + 16, n)), _part("_ld_words", e, n))
+        return F.struct(*[g[k].alias(k) for k in keys], g["_ld_keep"].alias("_ld_keep"), F.struct(
+            F.reverse(_part("_ld_hash", b - back, b)).alias("before"), _part("_ld_hash", e, e + on).alias("after")).alias("_ld_near"))
+
+    return j.select(F.explode(F.transform("_ld_of", near)).alias("g")).select("g.*")
+
+
+def _let(value, use):
+    """``use(value)`` with the value computed once for each row: a column that
+    a lambda reads may be put into it, and be computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """One row for each anchor: _ld_anchor, doc_id, _ld_row, and _ld_wins, the
+    windows (b: first line, e: line after the last, key, check) it stands for."""
+    enough = LONG * 64  # words in the upper bits, lines in the lower six: no line is without a word
+    present = lambda x: x.isNotNull()
+
+    def lines_of(words, start, most):
+        return F.aggregate(F.sequence(start, F.least(start + most, F.size(words)) - 1), F.lit(0),
+                           lambda got, k: F.when(got < enough, got + F.get(words, k) * 64 + 1).otherwise(got))
+
+    def until(words):
+        near = F.transform(words, lambda n, i: lines_of(words, i, 8))
+        far = F.transform(near, lambda got, i: F.when((got >= enough) | (i + 8 >= F.size(words)), got).otherwise(lines_of(words, i, LONG)))
+        return F.filter(F.transform(far, lambda got, i: F.when(got >= enough, i + got % 64)), present)
+
+    def windows(at, ends):
+        # up to line e the shortest run begins at the last line that has its end no later
+        after = lambda i: F.coalesce(F.get(ends, i + 1), F.size(at) + 1)
+        wins = F.flatten(F.transform(ends, lambda e, i: F.transform(F.sequence(e, F.greatest(e, after(i) - 1)), lambda k: F.struct(
+            i.alias("b"), k.alias("e"), F.transform(F.sequence(i, k - 1), lambda j: F.get("_ld_hash", F.get(at, j))).alias("l")))))
+        return F.transform(wins, lambda w: F.struct(
+            F.get(at, w["b"]).alias("b"), (F.get(at, w["e"] - 1) + 1).alias("e"), F.xxhash64(w["l"]).alias("key"), F.hash(w["l"]).alias("check"),
+            F.array_min(w["l"]).alias("low"), (w["b"] + F.array_position(w["l"], F.array_min(w["l"]))).alias("at")))
+
+    def grouped(wins):
+        first = F.filter(F.transform(wins, lambda w, i: F.when((i == 0) | (w["at"] != F.get(wins, i - 1)["at"]), i)), present)
+        win = lambda w: F.struct(*[w[c].alias(c) for c in ("b", "e", "key", "check")])
+        return _let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(wins, i)["low"].alias("low"), F.transform(
+            F.sequence(i, F.coalesce(F.get(f, k + 1), F.size(wins)) - 1), lambda j: win(F.get(wins, j))).alias("wins"))))
+
+    full = F.filter(F.transform("_ld_words", lambda n, i: F.when(n > 0, i)), present)
+    groups = _let(full, lambda at: _let(F.filter("_ld_words", lambda n: n > 0), lambda words: _let(
+        until(words), lambda ends: _let(windows(at, ends), grouped))))
+    # the outer form: no filter on the groups' number, which would compute them twice
+    df = df.select("doc_id", "_ld_row", F.explode_outer(groups).alias("g")).where("g is not null")
+    return df.select("doc_id", "_ld_row", F.col("g.low").alias("_ld_anchor"), F.col("g.wins").alias("_ld_wins"))
 
 
-def _near(hashes, b, e):
-    """Hashes of up to REACH lines before line b, nearest first, and from e on."""
-    return (F.reverse(F.slice(hashes, F.greatest(b - (REACH - 1), F.lit(1)), F.least(b, F.lit(REACH)))).alias("before"),
-            F.slice(hashes, e + 1, F.lit(REACH)).alias("after"))
+def _long_runs(lines: DataFrame) -> DataFrame:
+    """(row, lines to cut: b, e) of the windows that an earlier place holds."""
+    anchors = stored(_windows(lines), "ld-anchors")
+    often = anchors.groupBy("_ld_anchor").agg(F.count("*").alias("n")).where("n > 1").select("_ld_anchor")
+    # a hot anchor or window is left to the skew join: a salt would copy millions of keys
+    wins = anchors.join(often, "_ld_anchor").select("doc_id", "_ld_row", F.explode("_ld_wins").alias("w"))
+    wins = stored(wins.select(F.col("w.key").alias("_ld_key"), F.col("w.check").alias("_ld_check"),
+                              _at("w")), "ld-windows")
+    keys = ["_ld_key", "_ld_check"]
+    first = wins.groupBy(keys).agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep")).where("n > 1").drop("n")
+    j = wins.join(first, keys).where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
+    none = F.array().cast("array<bigint>")
+    return j.select("_ld_at._ld_row", F.struct("_ld_at.b", "_ld_at.e", none.alias("before"), none.alias("after")).alias("_ld_cut"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -118,16 +222,21 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a row's number tells repeated doc_ids apart; passes over a table of files number its rows alike
     rows = docs.withColumn("_ld_row", F.monotonically_increasing_id())
     cut = chunked(rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''"))
+    # no texts: the hash and the words of each line (LONG at most), and the chunks' keys
+    words = F.transform("_ld_lines", lambda x: F.least(F.regexp_count(x, F.lit(r"\S+")), F.lit(LONG)))
+    spans = F.transform(_spans(min_words), lambda c: F.struct(c["key"].alias("key"), c["b"].alias("b"), c["e"].alias("e")))
+    lines = stored(cut.select("doc_id", "_ld_row", "_ld_hash", words.alias("_ld_words"), spans.alias("_ld_spans")), "ld-lines")
+    keyed = lines.select("doc_id", "_ld_row", F.explode("_ld_spans").alias("c")).select(F.col("c.key").alias("_ld_key"), _at("c"))
     chunks = _chunks(cut, min_words)
-    keyed = stored(chunks.select("_ld_key", "_ld_at"), "ld-keys")  # no texts
-    keep = F.min(F.struct("_ld_at", "_ld_near")).alias("_ld_keep")
+    keep = F.min("_ld_at").alias("_ld_keep")
     seen = stored(chunks.groupBy("_ld_key").agg(F.count("*").alias("n"), keep, F.min("_ld_text").alias("low"), F.max("_ld_text").alias("high"))
                   .where("n > 1").select("_ld_key", "_ld_keep", (F.col("low") == F.col("high")).alias("same")), "ld-seen")
-    gone = _later(keyed, seen.where("same").select("_ld_key", "_ld_keep"), ["_ld_key"])
+    gone = _later(keyed, _with_near(seen.where("same"), lines, ["_ld_key"]), ["_ld_key"])
     if not (clash := seen.where("NOT same").select("_ld_key")).isEmpty():
         texts = chunks.join(clash, "_ld_key", "left_semi")
-        several = texts.groupBy("_ld_key", "_ld_text").agg(keep)
-        gone = gone.union(_later(texts.drop("_ld_near"), several, ["_ld_key", "_ld_text"]))
+        keys = ["_ld_key", "_ld_text"]
+        gone = gone.union(_later(texts, _with_near(texts.groupBy(keys).agg(keep), lines, keys), keys))
+    gone = gone.union(_long_runs(lines))
     gone = gone.groupBy("_ld_row").agg(F.collect_list("_ld_cut").alias("_ld_gone"))
     return _without(rows, stored(gone, "ld-gone"), docs.columns)
 
@@ -144,8 +253,8 @@ def _later(occurrences: DataFrame, groups: DataFrame, keys: list[str]) -> DataFr
     """(row, chunk to cut: b, e, lines near the first occurrence) of the
     occurrences that are not their group's first."""
     j = occurrences.withColumn("_salt", salt_of("_ld_at")).join(salted(groups), [*keys, "_salt"])
-    j = j.where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep._ld_at")))
-    return j.select("_ld_at._ld_row", F.struct("_ld_at.b", "_ld_at.e", "_ld_keep._ld_near.before", "_ld_keep._ld_near.after").alias("_ld_cut"))
+    j = j.where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
+    return j.select("_ld_at._ld_row", F.struct("_ld_at.b", "_ld_at.e", "_ld_near.before", "_ld_near.after").alias("_ld_cut"))
 
 
 def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
@@ -155,7 +264,9 @@ def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     cut = cut.withColumn("_ld_hash", _hashes("_ld_lines"))
 
     def reach(c):
-        before, after = _near(F.col("_ld_hash"), c["b"], c["e"])
+        low = F.greatest(c["b"] - F.size(c["before"]), F.lit(0))
+        before = F.reverse(_part("_ld_hash", low, c["b"]))
+        after = _part("_ld_hash", c["e"], F.least(c["e"] + F.size(c["after"]), F.size("_ld_hash")))
         return F.sequence(c["b"] - _alike(before, c["before"]), c["e"] - 1 + _alike(after, c["after"]))
 
     cut = cut.withColumn("_ld_lost", F.array_distinct(F.flatten(F.transform("_ld_gone", reach)))).drop("_ld_hash")

@@ -189,6 +189,50 @@ def test_line_dedup_of_repeats_and_nothing(spark):
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
 
 
+def long_runs_gone(rows, least=51):
+    """Lines in a run of over 50 words that an earlier place holds, by comparing
+    every run of non-blank lines with all others."""
+    lines = {i: re.split(r"(?<=\n)|(?<=[.!?] )", t) for i, t in rows}
+    full = {i: [(k, x.strip()) for k, x in enumerate(v) if x.strip()] for i, v in lines.items()}
+    seen, gone = set(), {i: set() for i in lines}
+    for i in sorted(full):
+        for b in range(len(full[i])):
+            for e in range(b + 1, len(full[i]) + 1):
+                run = tuple(x for _, x in full[i][b:e])
+                if sum(len(x.split()) for x in run) < least:
+                    continue
+                if run in seen:
+                    gone[i].update(range(full[i][b][0], full[i][e - 1][0] + 1))
+                seen.add(run)
+    return lines, gone
+
+
+def long_passages(rng, count, lines):
+    """Rows of own lines, and ``count`` passages of 51 to 100 words in that many
+    lines, each pasted into three of them."""
+    sentence = lambda n: prose(rng, n).capitalize() + ". "
+    rows = [["".join(sentence(rng.randint(3, 9)) for _ in range(rng.randint(2, 5))) + "\n" for _ in range(6)] for _ in range(30)]
+    for _ in range(count):
+        words, n = rng.randint(51, 100), rng.choice(lines)
+        passage = "".join(sentence(words // n + (k < words % n)) for k in range(n)) + "\n"
+        for r in rng.sample(rows, 3):
+            r.insert(rng.randint(0, len(r)), passage)
+    return [(i, "".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("lines", [(2, 3, 4, 5, 6, 8, 12)])
+def test_line_dedup_finds_every_long_run(spark, lines):
+    """No line stays that is in a run of over 50 words and has an earlier place."""
+    rows = long_passages(random.Random(17), 40, lines)
+    cut, gone = long_runs_gone(rows)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert sum(map(len, gone.values())) >= 60
+    for i, _ in rows:  # the passages are all that recurs here, so nothing else goes
+        stay = [x.strip() for k, x in enumerate(cut[i]) if k not in gone[i] and x.strip()]
+        assert [x.strip() for x in re.split(r"(?<=\n)|(?<=[.!?] )", got[i]["text"]) if x.strip()] == stay
+        assert got[i]["n_removed"] >= sum(1 for k in gone[i] if cut[i][k].strip())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
