@@ -220,7 +220,7 @@ def long_passages(rng, count, lines):
     return [(i, "".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("lines", [(2, 3, 4, 5, 6, 8, 12)])
+@pytest.mark.parametrize("lines", [(2, 3, 4, 5, 6, 8, 12), (1,)])
 def test_line_dedup_finds_every_long_run(spark, lines):
     """No line stays that is in a run of over 50 words and has an earlier place."""
     rows = long_passages(random.Random(17), 40, lines)
