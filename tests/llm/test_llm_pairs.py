@@ -233,6 +233,18 @@ def test_line_dedup_finds_every_long_run(spark, lines):
         assert got[i]["n_removed"] >= sum(1 for k in gone[i] if cut[i][k].strip())
 
 
+def test_line_dedup_grows_until_lines_differ(spark):
+    """Of passages of 48 words in 12 lines, a later copy goes as a whole if a chunk of it does."""
+    rng = random.Random(23)
+    sentence = lambda n: prose(rng, n).capitalize() + ". "
+    passages = [[sentence(4) for _ in range(12)] for _ in range(20)]
+    rows = [(i, sentence(6) + sentence(5) + "".join(passages[i % 20]) + sentence(7) + sentence(6)) for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    left = [sum(x in got[i] for x in passages[i % 20]) for i in range(20, 60)]
+    assert all(got[i] == rows[i][1] for i in range(20))
+    assert set(left) <= {0, 12} and left.count(0) >= 30
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
