@@ -16,13 +16,12 @@ How it works
      aggregate on a 128-bit digest of the set, so a copied text held by a third
      of all rows is one row after the map side).
   2. *Forest.* Each representative has ``trees`` MinHash labels of ``depth``
-     values. In each tree the labels form a prefix trie. ``prefix_lengths`` works
-     out, from the longest prefix downward, how far the matched prefix has to be
-     shortened until a pair at the threshold meets in some tree with the target
-     recall (1 - 1e-7 by default). Prefixes of one member only are dropped by a
+     values. ``prefix_length`` works out, from the whole label downward, the one
+     length of prefix, the same in all trees, at which a pair at the threshold
+     meets in some tree with the target recall (1 - 1e-7 by default). This is
+     banding: no trie is built, and no prefix is shortened by what it holds. Prefixes of one member only are dropped by a
      count on their 8-byte keys, before any signature moves.
-  3. The members of a prefix arrive sorted by the rest of their label, so a
-     node's subtrees are adjacent runs. Inside the task signatures are compared
+  3. Inside the task all signatures of a prefix are compared with each other
      in blocks; what leaves is at most one *link to join* per member, never the
      pairs. A prefix with more than ``block`` members is cut into blocks, and
      each pair of blocks is a group of its own: no group exceeds 2 x block rows.
