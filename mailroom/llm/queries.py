@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, line_dedup, mixing, secrets_scan, topk_search, toxicity, warc
+from . import (chat_format, collocations, decontaminate, embedding_dedup, html_extract, importance, jaccard_join, line_dedup, mixing,
+               secrets_scan, topk_search, toxicity, warc)
 from ..session import scratch_path
 from .util import ready, table
 
@@ -140,3 +141,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a five-word shingle Jaccard of 0.8 or more."""
     ready(spark)
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrase_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 6) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+i AS (SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, range(2, 5) mm(m), range(1, 5) ss(s) WHERE m < k AND s + m - 1 <= k GROUP BY 1, 2),
+o AS (SELECT c.* FROM c LEFT JOIN i ON i.lang = c.lang AND i.phrase = c.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a),
+u AS (SELECT o.lang, o.phrase, o.a, x.a AS l, y.a AS r, t.n, cut, ((1000::HUGEINT * o.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM o JOIN range(1, 5) cc(cut) ON cut < o.k JOIN t ON t.lang = o.lang
+  JOIN f x ON x.lang = o.lang AND x.phrase = array_to_string(o.ws[1:cut], ' ')
+  JOIN f y ON y.lang = o.lang AND y.phrase = array_to_string(o.ws[cut + 1:o.k], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language whose words stick together best."""
+    ready(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's distribution, and the draw."""
+    ready(spark)
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / (a.norm * b.norm) >= 0.95::DOUBLE),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+k AS (SELECT x, min(y) AS m FROM r GROUP BY 1),
+g AS (SELECT x, count(*) AS links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN k ON k.x = vec_id LEFT JOIN g ON g.x = vec_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with a cosine of 0.95 or more, and what they connect."""
+    ready(spark)
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
