@@ -7,8 +7,10 @@ counts (the 1/length factors of term frequency cancel in the cosine):
 
 Pairs that share no token score 0 and are never made. Stop-words are kept and
 there is no idf, so pairs that share some token are nearly all pairs; they
-are scored inside tasks over document shards (``search``, see topk_kernel) and
-only a query's best leave them. ``cosine_scores`` scores given pairs.
+are scored inside tasks over blocks of documents whose upper bounds reach a
+query's floor (``search``, see topk_kernel), and only a query's best leave them.
+``cosine_scores`` scores given pairs. ``SearchIndex`` (search_index) keeps the
+blocks of a growing table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..plans.sizing import fanout_partitions
 from .knowledge import CHUNK_KEY, term_vectors
-from .topk_kernel import sharded_topk
+from .search_index import SearchIndex
+from .topk_kernel import bounded_topk, sharded_topk
 
 TOP_K = 3                 # fixed: passages per message
 CONTEXT_CHARS = 500       # fixed: characters of a passage kept as context
@@ -42,14 +45,21 @@ def cosine_scores(candidates: DataFrame, qterms: DataFrame, dterms: DataFrame, q
     return agg.select(*qkeys, *dkeys, "dot", score.alias("score"))
 
 
-def search(queries: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str] = CHUNK_KEY,
+def search(queries: DataFrame, index: DataFrame | SearchIndex, qkeys: list[str], dkeys: list[str] = CHUNK_KEY,
            text: str = "text", k: int = TOP_K, shards: int | None = None, blocks: int | None = None) -> DataFrame:
-    """queries(qkeys, text) x index(dkeys, tok, n, n2) -> top-k hits
-    (qkeys, rank, dkeys, score): score desc, ties to the later-added document
-    (larger key), only scores above 0. Rank starts at 1."""
+    """queries(qkeys, text) x index -> top-k hits (qkeys, rank, dkeys, score):
+    score desc, ties to the later-added document (larger key), only scores above
+    0. Rank starts at 1.
+
+    ``index``: a kept ``SearchIndex``, or terms (dkeys, tok, n, n2), which are
+    laid out in ``shards`` for this search alone. Queries are dealt into
+    ``blocks`` lots. Both numbers follow the input's bytes if not given."""
     parted = queries.select(*qkeys, text).repartition(fanout_partitions(queries), *qkeys)
     qterms = term_vectors(parted, qkeys, text)
-    return sharded_topk(qterms, dterms, qkeys, dkeys, k, shards, blocks).select(*qkeys, "rank", *dkeys, "score")
+    if isinstance(index, SearchIndex):
+        hits = bounded_topk(qterms, index.documents(), index.bounds(), qkeys, index.keys, k, blocks)
+        return hits.select(*qkeys, "rank", *index.keys, "score")
+    return sharded_topk(qterms, index, qkeys, dkeys, k, shards, blocks).select(*qkeys, "rank", *dkeys, "score")
 
 
 def with_chunk_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:

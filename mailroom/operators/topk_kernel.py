@@ -1,17 +1,36 @@
-"""Per-query top-k over postings that stay where the documents are.
-
-Documents are hashed into shards and queries into blocks; every (shard, block)
-is one task. The task lays its documents' counts out by token, scores its
-queries one by one (the products of counts are summed per document with
-``bincount``: integers, exact in float64), divides by the norms in the same
-order as the SQL form, and returns at most ``k`` hits for a query. A window
-over these takes the best ``k`` (score, then the larger document key).
-
-Nothing passes through the driver and nothing is broadcast: documents move
-once for each query block and queries once for each shard, as rows of arrays.
-Shards and blocks follow the bytes that the two inputs read, so a task's
-memory does not grow with the table. One document is never split, whatever its
-number of tokens.
+"""Per-query top-k over blocks of documents with upper bounds.
+
+A document's weights are its counts over its norm. Documents with the same
+heaviest token and similar norms are laid side by side and cut into *blocks* of
+``BLOCK``; a block has an upper bound for each of its tokens, the largest weight.
+A query's score in a block is at most the sum of its own counts times these
+bounds, over its norm. The k-th score in its most promising block is a *floor*
+under its result, and blocks whose bound stays below the floor hold no hit.
+
+``sharded_topk`` searches terms that are given for this search. Documents are
+hashed into shards and queries into lots; every (shard, lot) is one task
+(``cogroup``), which lays its documents out in blocks, bounds its queries' scores
+in each, scores the most promising block and then those whose bound reaches the
+floor. Shards and lots follow the bytes that the two inputs read, so a task's
+memory does not grow with the table. Planning it runs no job.
+
+``bounded_topk`` searches blocks that were written before, with their bounds
+(``search_index``), and moves only what can hold a hit:
+
+  1. every query gets its bound in each block that shares a token with it (a
+     join on tokens with the bounds, which are far fewer than the postings);
+  2. a first pass scores each query in its most promising block, for the floor;
+  3. a second pass scores the blocks whose bound reaches the floor.
+
+There a pass is a cogroup by block: documents move once, queries go to the blocks
+they reach. Beyond one lot of queries, a block goes to the lots that reach it and
+no others, so no group grows with the number of queries. What two steps read
+(queries' terms, bounds, first hits) is written to the shared folder when the
+search is set up, so a lost executor costs no earlier step.
+
+Scores are integer products, summed exactly, and divided by the norms in the
+same order as the SQL form. Nothing passes through the driver, and nothing is
+broadcast. One document is never split, whatever its number of tokens.
 """
 
 from __future__ import annotations
@@ -27,49 +46,101 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.sizing import fanout_partitions, input_bytes
+from ..session import written
 
-# Bytes of query text (as scanned) for one block of queries.
-BLOCK_BYTES = 64 << 20
+# Documents of one block.
+BLOCK = 256
+# Bytes of query text (as scanned) for one lot of queries.
+LOT_BYTES = 64 << 20
+# A bound counts as reached from this much below: more than doubles lose in a sum.
+SLACK = 1 - 1e-9
+# Entries of postings that a task lays out at a time.
+_ENTRIES = 4_000_000
 
 
 class Postings:
-    """The documents of a shard by token: for token ``t``, documents
-    ``doc[start[t]:start[t + 1]]`` and their counts. Documents are numbered in
-    ascending key order, so the larger number is the larger key."""
+    """The documents of a task by token and block. Documents are numbered in
+    ascending key order, so the larger number is the larger key. A *run* is the
+    postings of one token in one block: ``doc[at[r]:at[r + 1]]`` and their
+    counts; token ``t`` has the runs ``start[t]`` to ``start[t + 1]``."""
 
-    def __init__(self, t: pa.Table, dkeys: list[str]):
+    def __init__(self, t: pa.Table, dkeys: list[str], block: int = BLOCK):
         t = t.sort_by([(c, "ascending") for c in dkeys])
         tokens = _chunk(t.column("toks"))
         self.keys = [_chunk(t.column(c)) for c in dkeys]
-        self.norm = t.column("n2").to_numpy().astype(np.float64)
+        self.norm = np.sqrt(t.column("n2").to_numpy().astype(np.float64))
         words = tokens.flatten().dictionary_encode()
         self.vocabulary = words.dictionary
         code = words.indices.to_numpy()
-        order = np.argsort(code, kind="stable")
+        count = _chunk(t.column("ns")).flatten().to_numpy().astype(np.float64)
         size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
-        self.doc = np.repeat(np.arange(len(size)), size)[order]
-        self.count = _chunk(t.column("ns")).flatten().to_numpy().astype(np.float64)[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.vocabulary)))])
-
-    def best(self, code: np.ndarray, n: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores), best first, for a query's token codes and counts."""
-        lo, size = self.start[code], self.start[code + 1] - self.start[code]
-        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
-        dot = np.bincount(self.doc[at], weights=np.repeat(n, size) * self.count[at], minlength=len(self.norm))
-        hit = np.flatnonzero(dot)
-        score = dot[hit] / (math.sqrt(norm) * np.sqrt(self.norm[hit]))
-        if len(hit) > k:
-            keep = score >= np.partition(score, -k)[-k]
-            hit, score = hit[keep], score[keep]
-        top = np.lexsort((-hit, -score))[:k]
-        return hit[top], score[top]
+        doc = np.repeat(np.arange(len(size)), size)
+        # documents by heaviest token, then by norm
+        heaviest = np.lexsort((code, -count, doc))[np.concatenate([[0], np.cumsum(size)[:-1]])] if len(doc) else doc
+        side = np.lexsort((self.norm, code[heaviest]))
+        of = np.empty(len(side), np.int64)
+        of[side] = np.arange(len(side)) // block
+        self.blocks = int(of.max()) + 1 if len(of) else 0
+        order = np.lexsort((of[doc], code))
+        code, self.doc, self.count = code[order], doc[order], count[order]
+        begins = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (of[self.doc][1:] != of[self.doc][:-1])]))
+        self.at = np.concatenate([begins, [len(code)]])
+        self.block = of[self.doc[begins]]
+        self.most = np.maximum.reduceat(self.count / self.norm[self.doc], begins)
+        self.start = np.searchsorted(code[begins], np.arange(len(self.vocabulary) + 1))
+        self.scored = self.bounded = 0  # (query, block) pairs scored, and bounded
+
+    def best(self, q: np.ndarray, code: np.ndarray, n: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(query, document, score) of the best ``k`` of each query. ``q``
+        (ascending), ``code`` and ``n``: its terms' query, token and count."""
+        first, queries = q[0], q[-1] - q[0] + 1
+        norm = norm[first:first + queries]
+        size = self.start[code + 1] - self.start[code]
+        run = _ranges(self.start[code], size)
+        q, n = np.repeat(q - first, size), np.repeat(n, size)
+        dot = np.zeros((queries, len(self.norm)))
+        pair = q * self.blocks + self.block[run]
+        bound = np.bincount(pair, weights=n * self.most[run], minlength=queries * self.blocks).reshape(queries, -1) / norm[:, None]
+        here = np.zeros(bound.shape, bool)
+        here[np.arange(queries), bound.argmax(1)] = True
+        self._add(dot, here, pair, q, n, run)
+        if self.blocks > 1:
+            score = dot / (norm[:, None] * self.norm[None, :])
+            floor = np.partition(score, -k, 1)[:, -k] if len(self.norm) >= k else np.zeros(queries)
+            rest = ~here & (bound >= floor[:, None] * SLACK) & (bound > 0)
+            self._add(dot, rest, pair, q, n, run)
+            here |= rest
+        self.scored += int((here & (bound > 0)).sum())
+        self.bounded += int((bound > 0).sum())
+        score = dot / (norm[:, None] * self.norm[None, :])
+        least = np.partition(score, -k, 1)[:, -k] if len(self.norm) > k else np.zeros(queries)
+        row, doc = np.nonzero((score >= least[:, None]) & (dot > 0))
+        s = score[row, doc]
+        order = np.lexsort((-doc, -s, row))
+        row, doc, s = row[order], doc[order], s[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep] + first, doc[keep], s[keep]
+
+    def _add(self, dot: np.ndarray, wanted: np.ndarray, pair: np.ndarray, q: np.ndarray, n: np.ndarray, run: np.ndarray) -> None:
+        """Add the products of the runs in the wanted (query, block) pairs."""
+        use = wanted.ravel()[pair]
+        q, n, run = q[use], n[use], run[use]
+        size = self.at[run + 1] - self.at[run]
+        at = _ranges(self.at[run], size)
+        dot += np.bincount(np.repeat(q, size) * dot.shape[1] + self.doc[at], weights=np.repeat(n, size) * self.count[at],
+                           minlength=dot.size).reshape(dot.shape)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
 def _chunk(c: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(c.chunks) if c.num_chunks != 1 else c.chunk(0)
 
 
-def _packed(terms: DataFrame, keys: list[str]) -> DataFrame:
+def packed(terms: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key with its tokens, their counts and the squared norm.
     Terms are partitioned by key, so this adds no exchange; the arrays are no
     longer than the text."""
@@ -84,45 +155,122 @@ def _scorer(qkeys: list[str], dkeys: list[str], k: int, schema: pa.Schema):
         tokens = _chunk(queries.column("toks"))
         code = pc.index_in(tokens.flatten(), value_set=p.vocabulary)
         known = code.is_valid().to_numpy(zero_copy_only=False)
-        code = code.fill_null(0).to_numpy()
-        count = _chunk(queries.column("ns")).flatten().to_numpy().astype(np.float64)
-        norm = queries.column("n2").to_numpy().astype(np.float64)
         size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
-        end = np.cumsum(size)
-        rows, hits, scores = [], [], []
-        for q in range(len(norm)):
-            here = np.arange(end[q] - size[q], end[q])
-            here = here[known[here]]
-            if len(here):
-                h, s = p.best(code[here], count[here], norm[q], k)
-                rows.append(np.full(len(h), q))
-                hits.append(h)
-                scores.append(s)
-        if not rows:
+        q = np.repeat(np.arange(len(size)), size)[known]
+        code = code.fill_null(0).to_numpy()[known]
+        count = _chunk(queries.column("ns")).flatten().to_numpy().astype(np.float64)[known]
+        norm = np.sqrt(queries.column("n2").to_numpy().astype(np.float64))
+        # as many queries at a time as their postings and their scores allow
+        entries = np.cumsum(p.at[p.start[code + 1]] - p.at[p.start[code]])
+        found, at = [], 0
+        while at < len(q):
+            before = entries[at - 1] if at else 0
+            end = np.searchsorted(entries, before + _ENTRIES, "right")
+            end = min(end, np.searchsorted(q, q[at] + max(1, _ENTRIES // len(p.norm)), "left"))
+            if end < len(q):  # whole queries, one at least
+                end = max(np.searchsorted(q, q[end], "left"), np.searchsorted(q, q[at], "right"))
+            found.append(p.best(q[at:end], code[at:end], count[at:end], norm, k))
+            at = end
+        if not found:
             return schema.empty_table()
-        at, hit = pa.array(np.concatenate(rows)), pa.array(np.concatenate(hits))
-        cols = [_chunk(queries.column(c)).take(at) for c in qkeys] + [c.take(hit) for c in p.keys]
-        return pa.Table.from_arrays([*cols, pa.array(np.concatenate(scores))], names=schema.names).cast(schema)
+        row, hit, score = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
+        cols = [_chunk(queries.column(c)).take(row) for c in qkeys] + [c.take(hit) for c in p.keys]
+        return pa.Table.from_arrays([*cols, score], names=schema.names).cast(schema)
 
     return run
 
 
+def _cogrouped(docs: DataFrame, queries: DataFrame, groups: list[str], tasks: int, qkeys: list[str], dkeys: list[str], k: int) -> DataFrame:
+    fields = [*[queries.schema[c] for c in qkeys], *[docs.schema[c] for c in dkeys]]
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("score", T.DoubleType())])
+    met = docs.repartition(tasks, *groups).groupBy(*groups).cogroup(queries.repartition(tasks, *groups).groupBy(*groups))
+    return met.applyInArrow(_scorer(qkeys, dkeys, k, to_arrow_schema(out)), out)
+
+
+def _ranked(hits: DataFrame, qkeys: list[str], dkeys: list[str], k: int) -> DataFrame:
+    # at most k rows of a query from each group that it was scored in
+    w = Window.partitionBy(*qkeys).orderBy(F.col("score").desc(), *[F.col(c).desc() for c in dkeys])
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def sharded_topk(qterms: DataFrame, dterms: DataFrame, qkeys: list[str], dkeys: list[str], k: int,
-                 shards: int | None = None, blocks: int | None = None) -> DataFrame:
+                 shards: int | None = None, lots: int | None = None) -> DataFrame:
     """Top-k hits (qkeys, rank, dkeys, score) of query terms against document
     terms, each (keys, tok, n, n2) and partitioned by its keys."""
     shards = shards or fanout_partitions(dterms)
-    blocks = blocks or max(1, math.ceil(input_bytes(qterms) / BLOCK_BYTES))
+    lots = lots or max(1, math.ceil(input_bytes(qterms) / LOT_BYTES))
     shard = F.pmod(F.xxhash64(*dkeys), F.lit(shards)).cast("int").alias("_shard")
-    block = F.pmod(F.xxhash64(*qkeys), F.lit(blocks)).cast("int").alias("_block")
-    docs = _packed(dterms, dkeys).select("*", shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    queries = _packed(qterms, qkeys).select("*", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
-    fields = [*[qterms.schema[c] for c in qkeys], *[dterms.schema[c] for c in dkeys]]
-    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("score", T.DoubleType())])
-    n = shards * blocks
-    pair = docs.repartition(n, "_shard", "_block").groupBy("_shard", "_block").cogroup(
-        queries.repartition(n, "_shard", "_block").groupBy("_shard", "_block"))
-    hits = pair.applyInArrow(_scorer(qkeys, dkeys, k, to_arrow_schema(out)), out)
-    # at most k rows of a query from each shard
-    w = Window.partitionBy(*qkeys).orderBy(F.col("score").desc(), *[F.col(c).desc() for c in dkeys])
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    lot = F.pmod(F.xxhash64(*qkeys), F.lit(lots)).cast("int").alias("_lot")
+    docs = packed(dterms, dkeys).select("*", shard, F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot"))
+    queries = packed(qterms, qkeys).select("*", lot, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    return _ranked(_cogrouped(docs, queries, ["_shard", "_lot"], shards * lots, qkeys, dkeys, k), qkeys, dkeys, k)
+
+
+def arranged(docs: DataFrame, dkeys: list[str], shards: int) -> DataFrame:
+    """Packed documents (dkeys, toks, ns, n2) with their ``block``. The order is
+    cut anew whenever it is computed, so write it before it is read twice."""
+    order = ["_top", "n2", *dkeys]
+    heavy = F.array_max(F.arrays_zip("ns", "toks"))["toks"]
+    laid = docs.withColumn("_top", heavy).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits, the row's below
+    laid = laid.withColumn("_at", at)
+    number = F.col("_at").bitwiseAND(2 ** 33 - 1)
+    block = F.shiftright("_at", 33) * F.lit(2 ** 33 // BLOCK) + F.floor(number / BLOCK)
+    return laid.withColumn("block", block).drop("_top", "_at")
+
+
+def token_bounds(docs: DataFrame) -> DataFrame:
+    """(block, tok, most): the largest weight of a token in a block."""
+    each = docs.select("block", "n2", F.explode(F.arrays_zip("toks", "ns")).alias("t"))
+    weight = F.col("t.ns") / F.sqrt(F.col("n2").cast("double"))
+    return each.groupBy("block", F.col("t.toks").alias("tok")).agg(F.max(weight).alias("most"))
+
+
+def query_bounds(queries: DataFrame, bounds: DataFrame, qkeys: list[str]) -> DataFrame:
+    """(qkeys, block, bound): no document of the block scores higher."""
+    terms = queries.select(*qkeys, "n2", F.explode(F.arrays_zip("toks", "ns")).alias("t"))
+    share = F.col("t.ns") / F.sqrt(F.col("n2").cast("double"))
+    terms = terms.select(*qkeys, F.col("t.toks").alias("tok"), share.alias("share"))
+    met = terms.join(bounds.hint("merge"), "tok")
+    return met.groupBy(*qkeys, "block").agg(F.sum(F.col("share") * F.col("most")).alias("bound"))
+
+
+def first_blocks(reach: DataFrame, qkeys: list[str]) -> DataFrame:
+    """(qkeys, block): the most promising block of each query."""
+    return reach.groupBy(*qkeys).agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+
+
+def reached(reach: DataFrame, first: DataFrame, hits: DataFrame, qkeys: list[str], k: int) -> DataFrame:
+    """(qkeys, block): blocks other than the first whose bound reaches the floor
+    that the first block's hits give."""
+    floor = hits.groupBy(*qkeys).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    known = first.withColumnRenamed("block", "_first").join(floor.hint("merge"), qkeys, "left")
+    j = reach.join(known.hint("merge"), qkeys)
+    return j.where((F.col("block") != F.col("_first")) & (F.col("bound") >= F.coalesce("floor", F.lit(0.0)) * SLACK)).select(*qkeys, "block")
+
+
+def score_pairs(pairs: DataFrame, queries: DataFrame, docs: DataFrame, qkeys: list[str], dkeys: list[str], k: int,
+                lots: int, tasks: int) -> DataFrame:
+    """(qkeys, dkeys, score): each query's best ``k`` in each of its blocks."""
+    lot = F.pmod(F.xxhash64(*qkeys), F.lit(lots)).cast("int").alias("lot")
+    asked = pairs.join(queries.hint("merge"), qkeys).select("*", lot)
+    if lots > 1:
+        held = docs.join(pairs.select("block", lot).distinct().hint("merge"), "block")
+    else:
+        held = docs.withColumn("lot", F.lit(0))
+    return _cogrouped(held, asked, ["block", "lot"], tasks, qkeys, dkeys, k)
+
+
+def bounded_topk(qterms: DataFrame, docs: DataFrame, bounds: DataFrame, qkeys: list[str], dkeys: list[str], k: int,
+                 lots: int | None = None, tasks: int | None = None) -> DataFrame:
+    """Top-k hits (qkeys, rank, dkeys, score) of query terms (qkeys, tok, n, n2;
+    partitioned by their keys) against written blocks of documents and their
+    token bounds."""
+    lots = lots or max(1, math.ceil(input_bytes(qterms) / LOT_BYTES))
+    tasks = tasks or fanout_partitions(docs)
+    queries = written(packed(qterms, qkeys), "search-queries")
+    reach = written(query_bounds(queries, bounds, qkeys), "search-bounds")
+    first = first_blocks(reach, qkeys)
+    here = written(score_pairs(first, queries, docs, qkeys, dkeys, k, lots, tasks), "search-first")
+    rest = score_pairs(reached(reach, first, here, qkeys, k), queries, docs, qkeys, dkeys, k, lots, tasks)
+    return _ranked(here.unionByName(rest), qkeys, dkeys, k)

@@ -14,6 +14,8 @@ from ..operators import dashboard as A
 from ..operators import knowledge as KB
 from ..operators import listing as L
 from ..operators import similarity as S
+from ..operators.search_index import SearchIndex
+from ..session import scratch_path
 from ..sources.fixtures import AS_OF, Fixtures, with_views
 from .oracle_views import DERIVED, topk_sql
 
@@ -223,6 +225,21 @@ register("benchmark_topk", topk_sql("query_terms", "bench_terms", "q_id", ["item
                               ["q_id"], ["item_id"]))
 
 
+@register("kb_live_topk", topk_sql("query_terms", "(SELECT * FROM kb_postings WHERE upload_id % 5 <> 1)", "q_id",
+                                   ["upload_id", "chunk_index"]))
+def _kb_live_topk(spark, d):
+    """Hits from a kept index: uploads arrive in three batches, every fifth is
+    removed in the last, and the index is compacted before that."""
+    chunks = _chunks(_fx(spark, d))
+    index = SearchIndex(spark, scratch_path(spark, "kb-index"))
+    for batch in (1, 2, 3):
+        index.add(KB.kb_index(chunks.where(F.col("upload_id") % 3 == batch - 1)), batch)
+        if batch == 2:
+            index.compact()
+    index.delete(chunks.where("upload_id % 5 = 1").select("upload_id"), 4)
+    return S.search(_fx(spark, d).kb_queries, index, ["q_id"])
+
+
 @register("kb_context", """
 SELECT CASE WHEN count(*) > 0 THEN string_agg(b, chr(10) || chr(10) ORDER BY created_at, name, chunk_index, id)
  ELSE 'No company knowledge base documents uploaded yet.' END AS kb_context

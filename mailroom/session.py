@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings every job relies on (values chosen for this engine).
 SQL_CONF = {
@@ -115,3 +115,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     sources, stream checkpoints and written intermediate tables)."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/mailroom-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared checkpoint folder and read back: steps after
+    it do not repeat it, and a lost executor loses nothing of it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
