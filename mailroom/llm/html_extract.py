@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -84,8 +85,21 @@ def parse(html: str) -> Page:
     with their parent, and paragraphs, items and cells end where the next begins."""
     page = Page()
     open_: list[int] = [0]
+    opened: Counter[str] = Counter()  # open elements by tag, so that an end without a beginning costs nothing
     block, link, at, n = 0, 0, 0, len(html)
     inline: list[tuple[str, bool]] = []  # open inline tags, and whether each is an element here
+    inlines: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        """The open element at place i ends, and with it all within."""
+        nonlocal link
+        for e in open_[i:]:
+            opened[page.tag[e]] -= 1
+        del open_[i:]
+        link = 0
+        inline.clear()
+        inlines.clear()
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -103,11 +117,12 @@ def parse(html: str) -> Page:
             continue
         if tag in INLINE:
             if end:
-                for i in range(len(inline) - 1, -1, -1):
+                for i in range(len(inline) - 1, -1, -1) if inlines[tag] else ():
                     if inline[i][0] == tag:
                         if inline[i][1] and len(open_) > 1 and page.tag[open_[-1]] == tag:
-                            open_.pop()
+                            opened[page.tag[open_.pop()]] -= 1
                         link -= tag == "a"
+                        inlines[tag] -= 1
                         del inline[i]
                         break
                 link = max(link, 0)
@@ -115,15 +130,16 @@ def parse(html: str) -> Page:
             names, _ = _attributes(m[3])
             if names:
                 _open(page, open_, tag, m[3])
+                opened[tag] += 1
+            inlines[tag] += 1
             inline.append((tag, bool(names)))
             link += tag == "a"
             continue
         block += 1
         if end:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if opened[tag] else ():
                 if page.tag[open_[i]] == tag:
-                    del open_[i:]
-                    link, inline = 0, []
+                    close(i)
                     break
             continue
         if tag in RAW:
@@ -135,13 +151,13 @@ def parse(html: str) -> Page:
         for i in range(len(open_) - 1, 0, -1):
             t = page.tag[open_[i]]
             if t in closes:
-                del open_[i:]
-                link, inline = 0, []
+                close(i)
                 if t == tag or tag in _BLOCKS and tag not in ("li", "dt", "dd"):
                     break
             elif t in _STOPS:
                 break
         _open(page, open_, tag, m[3])
+        opened[tag] += 1
     return page
 
 
@@ -150,7 +166,7 @@ def _attributes(text: str) -> tuple[list[str], int | None]:
     for k, v in _ATTR.findall(text) if "=" in text else ():
         v = v.strip("\"'")
         if k.lower() == "data-y":
-            mark = int(v)
+            mark = {"0": 0, "1": 1}.get(v)  # a training label; whatever else a page has there is nothing
         else:
             names += [w.lower() for w in _NAME.findall(v)] + [w.lower() for w in v.split() if "-" in w or "_" in w]
     return names, mark
