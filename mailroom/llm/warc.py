@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -89,8 +90,10 @@ def _urn(page_id: int | None) -> str:
 
 
 def _page(urn: str | None) -> int | None:
-    body = (urn or "").strip("<>").rpartition(":")[2]
-    return int(body) if urn and urn.startswith("<urn:page:") and body.lstrip("-").isdigit() else None
+    """The page of one of our record ids; null for any other, and for numbers beyond 64 bits."""
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+    n = int(m[1]) if m else None
+    return n if n is not None and -2 ** 63 <= n < 2 ** 63 else None
 
 
 def member(data: bytes, level: int = _LEVEL) -> bytes:
@@ -103,12 +106,21 @@ def member(data: bytes, level: int = _LEVEL) -> bytes:
 
 def _parse(head: bytes) -> dict[str, str]:
     out = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in re.split("\r?\n", head.decode("utf-8", "replace"))[1:]:
         k, _, v = line.partition(":")
         out[k.strip().lower()] = v.strip()
     return out
 
 
+def _payload(kind: str | None, record: _Record) -> bytes | None:
+    """What a record is about: behind the HTTP header of a response or a
+    request, the whole block of any other, nothing of a revisit."""
+    if kind == "revisit":
+        return None
+    block = record.block()
+    return block.partition(b"\r\n\r\n")[2] if kind in ("response", "request") else block
+
+
 class _Record:
     """Headers of a record at hand, the block on demand."""
 
@@ -267,7 +279,7 @@ class WarcReader(ds.DataSourceReader):
                     if not self.wanted(row):
                         continue
                     if self.payload:
-                        row["payload"] = r.block().partition(b"\r\n\r\n")[2] if row["record_type"] != "revisit" else None
+                        row["payload"] = _payload(row["record_type"], r)
                         weight += len(row["payload"] or b"")
                     rows.append(row)
                     if len(rows) >= 4096 or weight >= 16 << 20:
@@ -281,7 +293,7 @@ class WarcReader(ds.DataSourceReader):
         length = head.get("x-payload-length")
         return {"record_type": head.get("warc-type"), "page_id": _page(head.get("warc-record-id")), "url": head.get("warc-target-uri"),
                 "refers_to": _page(head.get("warc-refers-to")), "payload_digest": (head.get("warc-payload-digest") or "").rpartition(":")[2],
-                "payload_length": int(length) if length else None, "file": path}
+                "payload_length": int(length) if re.fullmatch("[0-9]{1,18}", length or "") else None, "file": path}
 
 
 @dataclass
