@@ -11,8 +11,7 @@ take is shared again by weight among the others.
 
 How it works (multivariate-hypergeometric splitting tree)
   1. Each source's documents fall by hash into *blocks* of about
-     ``BLOCK_WORDS`` words (at most ``MOST_BLOCKS`` blocks a source, which then are
-     larger). The blocks of a source are permuted by a hash. A target of c
+     ``BLOCK_WORDS`` words. The blocks of a source are permuted by a hash. A target of c
      whole passes and a rest takes every block c times and then blocks in
      permuted order until the rest is used up; the last of them is taken up to
      the document that comes closest. That gives each source's exact quota of
@@ -51,7 +50,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 20_000
-MOST_BLOCKS = 1 << 16
 SHARD_WORDS = 4_000_000
 SEED = 42
 
@@ -150,7 +148,7 @@ class Plan:
 
     def __init__(self, meta: DataFrame, share: float, most: float, weights, block_words: int, shard_words: int, seed: int):
         sizes = meta.groupBy("source").agg(F.sum("size").alias("source_size"))
-        n = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("int")
+        n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int")
         src = targets(sizes, weights, share, most)
         passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
         self.sources = stored(src.withColumns({"n_blocks": n, "passes": passes}).withColumn(
@@ -218,13 +216,16 @@ def _placed(rows: DataFrame, plan: Plan) -> DataFrame:
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights=WEIGHTS, block_words: int = BLOCK_WORDS,
         shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """The taken copies with all columns of ``docs`` and ``copy`` (from 0),
-    ``shard`` and ``place`` (a hash; rows of a shard come sorted by it)."""
+    ``shard`` and ``place`` (a hash; rows of a shard come sorted by it). One of
+    these that ``docs`` has itself stays as it is there, and the new one gets
+    ``_mx_`` before its name."""
     plan = _plan(docs, share, most, weights, block_words, shard_words, seed)
     cols = [F.col(c).alias(f"_mx_{c}") for c in docs.columns if c not in ("doc_id", "source", "text")]
     rows = docs.select("doc_id", "source", "text", *cols, identity(seed).alias("key"))
     rows = _placed(with_blocks(rows, plan.sources.select("source", "rank", "n_blocks")), plan)
     own = [F.col(c if c in ("doc_id", "source", "text") else f"_mx_{c}").alias(c) for c in docs.columns]
     out = rows.select(*own, F.explode("places").alias("_mx_p"), F.col("key").alias("_mx_key"))
-    out = out.select(*docs.columns, F.col("_mx_p.copy").alias("copy"), F.col("_mx_p.shard").alias("shard"),
-                     F.xxhash64(F.lit(seed), "_mx_key", "_mx_p.copy").alias("place"))
-    return out.repartition("shard").sortWithinPartitions("shard", "place")
+    copy, shard, place = (f"_mx_{c}" if c in docs.columns else c for c in ("copy", "shard", "place"))
+    out = out.select(*docs.columns, F.col("_mx_p.copy").alias(copy), F.col("_mx_p.shard").alias(shard),
+                     F.xxhash64(F.lit(seed), "_mx_key", "_mx_p.copy").alias(place))
+    return out.repartition(shard).sortWithinPartitions(shard, place)
