@@ -20,9 +20,11 @@ Model
   the highest window, fitted on the labelled texts, turns it into the score.
 
 Training reads at most ``SAMPLE`` labelled documents of each label (documented
-bound, those with the smallest hash of doc_id) of at most ``LONGEST`` characters,
-and of one that is not toxic at most ``WORDS_EACH`` words in windows chosen from
-all over it; scoring reads every word of every document.
+bound, those with the smallest hash of doc_id among the labelled ones that are in
+``docs``). Of a text beyond ``LONGEST`` characters it reads ``SLICES`` slices from all
+over it, together that long, and of one that is not toxic at most ``WORDS_EACH``
+words in windows chosen from all over it; scoring reads every word of every
+document.
 
 Scoring is linear: a word adds (sum of its rows' softmax weights, number of its
 rows) to each window it is in, so a worker computes a word once and remembers it
@@ -36,6 +38,7 @@ score is 0.0; empty tables give an empty result; repeated rows score alike.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,6 +55,7 @@ DIM = 12
 WINDOW = 5
 SAMPLE = 2500
 LONGEST = 100_000
+SLICES = 50
 WORDS_EACH = 400
 THRESHOLD = 0.3
 LOT = 384
@@ -283,14 +287,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     task: texts stay on the executors, and the driver gets the model's numbers."""
     ready(docs.sparkSession)
     usable = labels.where("doc_id is not null").where(~held_out("doc_id")).select("doc_id", "toxic")
-    short = docs.select("doc_id", "text").where(F.length("text") <= LONGEST)
+    each = LONGEST // SLICES
+    step = F.length("text") / F.lit(SLICES)
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substr("text", (i * step).cast("int") + 1, F.lit(each)))
+    short = docs.select("doc_id", F.when(F.length("text") > LONGEST, F.array_join(slices, "\n")).otherwise(F.col("text")).alias("text"))
+    there = docs.select("doc_id").distinct()
     picked = []
     for label in (0, 1):
-        ids = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        ids = usable.where(F.col("toxic") == label).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         # at most ``sample`` ids: a broadcast of bounded size; documents are not shuffled
         got = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
         picked.append(got.select("doc_id", "text", "toxic"))
     row = picked[0].union(picked[1]).repartition(1).mapInArrow(_train_task, "weight binary, bias double, slope double, shift double").first()
+    if row is None or not np.isfinite(row["shift"]):
+        warnings.warn("toxicity: no labelled text of one label or of both, nothing was learnt", stacklevel=2)
     if row is None:
         return Model(np.zeros(BUCKETS))
     return Model(np.frombuffer(bytes(row["weight"]), np.float64), row["bias"], row["slope"], row["shift"])
