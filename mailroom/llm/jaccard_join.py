@@ -327,12 +327,13 @@ def _matching(named: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one document of each class: rows whose doc_id is the
-    class_id stay, once each; rows with a null doc_id all stay, since no id
-    tells them apart."""
-    found = jaccard_join(docs, **kw).where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = stored(found, "jj-stay")
-    kept = docs.join(found.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    if not (often := found.where("rows > 1").select("doc_id")).isEmpty():
-        kept = kept.unionByName(docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """``docs`` with one document of each class: the row with the smallest
+    doc_id (nulls last), and the first of several such. Rows are told apart by
+    their number in the scan, so repeated and null doc_ids do not matter.
+    ``docs`` is a table of files: every pass numbers its rows alike."""
+    rows = docs.withColumn("_jj_row", F.monotonically_increasing_id())
+    found = jaccard_join(rows.select(F.col("_jj_row").alias("doc_id"), "text"), **kw)
+    found = found.select(F.col("doc_id").alias("_jj_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_jj_row"))
+    stay = rows.select("_jj_row", "doc_id").join(found, "_jj_row").groupBy("class_id").agg(first.alias("f"))
+    return rows.join(stored(stay.select("f._jj_row"), "jj-stay"), "_jj_row", "left_semi").select(docs.columns)
