@@ -3,7 +3,7 @@
 ``line_dedup(docs)`` returns ``docs`` with every repeated multi-line chunk cut
 out of ``text`` but for its first occurrence in the corpus, ``n_chars`` set to
 the new length (if there is such a column), and ``n_removed`` (long): the lines
-cut out of the row's text.
+cut out of the row's text (``_ld_n_removed``, if ``docs`` has an ``n_removed``).
 
 How it works
   1. A text is a sequence of *lines*: it is cut after each line break, and long
@@ -278,4 +278,5 @@ def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
         out["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(
             F.length("_ld_new")).cast(rows.schema["n_chars"].dataType)
     removed = F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(F.size("_ld_lost")).cast("long")
-    return cut.select(*[out.get(c, F.col(c)).alias(c) for c in columns], removed.alias("n_removed"))
+    name = "_ld_n_removed" if "n_removed" in columns else "n_removed"
+    return cut.select(*[out.get(c, F.col(c)).alias(c) for c in columns], removed.alias(name))
