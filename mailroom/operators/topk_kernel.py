@@ -29,8 +29,7 @@ no others, so no group grows with the number of queries. What two steps read
 search is set up, so a lost executor costs no earlier step.
 
 Scores are integer products, summed exactly, and divided by the norms in the
-same order as the SQL form. Nothing passes through the driver, and nothing is
-broadcast. One document is never split, whatever its number of tokens.
+same order as the SQL form. Nothing passes through the driver. One document is never split, whatever its number of tokens.
 """
 
 from __future__ import annotations
