@@ -20,9 +20,8 @@ How it works
   3. Chunks are grouped by a 64-bit hash (partial aggregate: a chunk held by a
      third of all rows is one row after the map side), which counts them, finds the
      occurrence with the smallest (doc_id, row, line), which stays, and
-     compares their *bytes*: the smallest and the largest text of a hash are one
-     text, or else the hash stands for several, which are then grouped by
-     hash and text.
+     compares their *bytes*: the group is by hash and text first, and a hash that
+     then stands for several texts is never looked up without its text.
   4. A shared passage rarely begins and ends at chunk borders. So the first
      occurrence of a chunk brings the 64-bit hashes of the lines before and after
      it, on either side until they have ``LONG`` words, and what is cut elsewhere
@@ -31,8 +30,9 @@ How it works
      first place of every line stays.
   5. A single-line chunk, and one of fewer than ``min_words`` words, never goes:
      short lines recur by chance. Occurrences (without text) are joined to the
-     repeated chunks with a salt, and each row gets the set of lines to cut.
-     Texts move twice in all: to be compared, and to meet their lines.
+     repeated chunks, hot ones by a broadcast of bounded size (``util.meet``), and
+     each row gets the set of lines to cut. Texts move twice in all: to be
+     compared, and to meet their lines.
   6. A passage of few lines may hold no whole chunk, so every run of lines of
      ``LONG`` words or more is searched for as well. Its *windows* are the
      shortest runs of that many words from each of its lines on, and up to each;
@@ -55,7 +55,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import ready, salt_of, salted, stored
+from .util import meet, ready, stored
 
 MIN_WORDS = 12
 LONG = 51  # words: runs of lines with over 50 are found wherever they stand
@@ -107,15 +107,22 @@ def chunked(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_ld_roll", "_ld_flags")
 
 
+def _let(value, use):
+    """``use(value)`` with the value computed once for each row: a column that
+    a lambda reads may be put into it, and be computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _spans(min_words: int):
     """The chunks that may go, as an array of key, b (first line), e (line after
     the last) and text (its lines without white space at the end)."""
     begin = F.concat(F.array(F.lit(0)), F.col("_ld_ends"))
     span = F.arrays_zip(F.slice(begin, 1, F.size("_ld_ends")).alias("b"), F.col("_ld_ends").alias("e"))
-    chunk = F.transform(F.filter(span, lambda s: s["e"] - s["b"] > 1), lambda s: F.struct(
-        s["b"].alias("b"), s["e"].alias("e"),
-        F.regexp_replace(F.array_join(F.slice("_ld_lines", s["b"] + 1, s["e"] - s["b"]), ""), r"[\n\x20]+\z", "").alias("text")))
-    chunk = F.filter(chunk, lambda c: F.size(F.split(c["text"], r"[\n\x20]+")) >= min_words)
+    inside = lambda array, s: F.transform(F.sequence(s["b"], s["e"] - 1), lambda i: F.get(array, i))
+    chunk = _let(F.col("_ld_words"), lambda words: F.filter(span, lambda s: (s["e"] - s["b"] > 1) & (
+        F.aggregate(inside(words, s), F.lit(0), lambda n, x: n + x) >= min_words)))
+    chunk = F.transform(chunk, lambda s: F.struct(
+        s["b"].alias("b"), s["e"].alias("e"), F.rtrim(F.array_join(inside("_ld_lines", s), ""), F.lit("\n ")).alias("text")))
     return F.transform(chunk, lambda c: F.struct(F.xxhash64(c["text"]).alias("key"), c["b"].alias("b"), c["e"].alias("e"), c["text"].alias("text")))
 
 
@@ -130,9 +137,9 @@ def _chunks(df: DataFrame, min_words: int) -> DataFrame:
 
 
 def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``groups`` (keys, _ld_keep) with _ld_near: hashes of the lines before the
+    """``groups`` (keys, n, _ld_keep) with _ld_near: hashes of the lines before the
     first occurrence, nearest first, and after it, until they have LONG words."""
-    of = F.struct(*keys, "_ld_keep")
+    of = F.struct(*keys, "n", "_ld_keep")
     firsts = groups.groupBy(F.col("_ld_keep._ld_row").alias("_ld_row")).agg(F.collect_list(of).alias("_ld_of"))
     j = lines.select("_ld_row", "_ld_hash", "_ld_words").join(firsts, "_ld_row")
 
@@ -151,16 +158,10 @@ def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFram
         n = F.size("_ld_words")
         back = until(F.reverse(_part("_ld_words", low, b)), F.reverse(_part("_ld_words", F.lit(0), b)))
         on = until(_part("_ld_words", e, F.least(e + 16, n)), _part("_ld_words", e, n))
-        return F.struct(*[g[k].alias(k) for k in keys], g["_ld_keep"].alias("_ld_keep"), F.struct(
+        return F.struct(*[g[k].alias(k) for k in [*keys, "n"]], g["_ld_keep"].alias("_ld_keep"), F.struct(
             F.reverse(_part("_ld_hash", b - back, b)).alias("before"), _part("_ld_hash", e, e + on).alias("after")).alias("_ld_near"))
 
-    return j.select(F.explode(F.transform("_ld_of", near)).alias("g")).select("g.*")
-
-
-def _let(value, use):
-    """``use(value)`` with the value computed once for each row: a column that
-    a lambda reads may be put into it, and be computed for each element."""
-    return F.get(F.transform(F.array(value), use), 0)
+    return stored(j.select(F.explode(F.transform("_ld_of", near)).alias("g")).select("g.*"), "ld-near")
 
 
 def _windows(df: DataFrame) -> DataFrame:
@@ -178,11 +179,11 @@ def _windows(df: DataFrame) -> DataFrame:
         far = F.transform(near, lambda got, i: F.when((got >= enough) | (i + 8 >= F.size(words)), got).otherwise(lines_of(words, i, LONG)))
         return F.filter(F.transform(far, lambda got, i: F.when(got >= enough, i + got % 64)), present)
 
-    def windows(at, ends):
+    def windows(at, hashes, ends):
         # up to line e the shortest run begins at the last line that has its end no later
         after = lambda i: F.coalesce(F.get(ends, i + 1), F.size(at) + 1)
         wins = F.flatten(F.transform(ends, lambda e, i: F.transform(F.sequence(e, F.greatest(e, after(i) - 1)), lambda k: F.struct(
-            i.alias("b"), k.alias("e"), F.transform(F.sequence(i, k - 1), lambda j: F.get("_ld_hash", F.get(at, j))).alias("l")))))
+            i.alias("b"), k.alias("e"), F.transform(F.sequence(i, k - 1), lambda j: F.get(hashes, j)).alias("l")))))
         return F.transform(wins, lambda w: F.struct(
             F.get(at, w["b"]).alias("b"), (F.get(at, w["e"] - 1) + 1).alias("e"), F.xxhash64(w["l"]).alias("key"), F.hash(w["l"]).alias("check"),
             F.array_min(w["l"]).alias("low"), (w["b"] + F.array_position(w["l"], F.array_min(w["l"]))).alias("at")))
@@ -195,7 +196,8 @@ def _windows(df: DataFrame) -> DataFrame:
 
     full = F.filter(F.transform("_ld_words", lambda n, i: F.when(n > 0, i)), present)
     groups = _let(full, lambda at: _let(F.filter("_ld_words", lambda n: n > 0), lambda words: _let(
-        until(words), lambda ends: _let(windows(at, ends), grouped))))
+        F.transform(at, lambda i: F.get("_ld_hash", i)), lambda hashes: _let(
+            until(words), lambda ends: _let(windows(at, hashes, ends), grouped)))))
     # the outer form: no filter on the groups' number, which would compute them twice
     df = df.select("doc_id", "_ld_row", F.explode_outer(groups).alias("g")).where("g is not null")
     return df.select("doc_id", "_ld_row", F.col("g.low").alias("_ld_anchor"), F.col("g.wins").alias("_ld_wins"))
@@ -204,14 +206,13 @@ def _windows(df: DataFrame) -> DataFrame:
 def _long_runs(lines: DataFrame) -> DataFrame:
     """(row, lines to cut: b, e) of the windows that an earlier place holds."""
     anchors = stored(_windows(lines), "ld-anchors")
-    often = anchors.groupBy("_ld_anchor").agg(F.count("*").alias("n")).where("n > 1").select("_ld_anchor")
-    # a hot anchor or window is left to the skew join: a salt would copy millions of keys
-    wins = anchors.join(often, "_ld_anchor").select("doc_id", "_ld_row", F.explode("_ld_wins").alias("w"))
+    often = stored(anchors.groupBy("_ld_anchor").agg(F.count("*").alias("n")).where("n > 1"), "ld-often")
+    wins = meet(anchors, often, ["_ld_anchor"]).select("doc_id", "_ld_row", F.explode("_ld_wins").alias("w"))
     wins = stored(wins.select(F.col("w.key").alias("_ld_key"), F.col("w.check").alias("_ld_check"),
                               _at("w")), "ld-windows")
     keys = ["_ld_key", "_ld_check"]
-    first = wins.groupBy(keys).agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep")).where("n > 1").drop("n")
-    j = wins.join(first, keys).where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
+    first = stored(wins.groupBy(keys).agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep")).where("n > 1"), "ld-first")
+    j = meet(wins, first, keys).where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
     none = F.array().cast("array<bigint>")
     return j.select("_ld_at._ld_row", F.struct("_ld_at.b", "_ld_at.e", none.alias("before"), none.alias("after")).alias("_ld_cut"))
 
@@ -222,20 +223,22 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a row's number tells repeated doc_ids apart; passes over a table of files number its rows alike
     rows = docs.withColumn("_ld_row", F.monotonically_increasing_id())
     cut = chunked(rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''"))
-    # no texts: the hash and the words of each line (LONG at most), and the chunks' keys
-    words = F.transform("_ld_lines", lambda x: F.least(F.regexp_count(x, F.lit(r"\S+")), F.lit(LONG)))
+    words = F.transform("_ld_lines", lambda x: F.least(F.regexp_count(x, F.lit(r"\S+")), F.lit(max(LONG, min_words))))
+    cut = cut.withColumn("_ld_words", words)
+    # no texts: the hash and the words of each line, and the chunks' keys
     spans = F.transform(_spans(min_words), lambda c: F.struct(c["key"].alias("key"), c["b"].alias("b"), c["e"].alias("e")))
-    lines = stored(cut.select("doc_id", "_ld_row", "_ld_hash", words.alias("_ld_words"), spans.alias("_ld_spans")), "ld-lines")
+    lines = stored(cut.select("doc_id", "_ld_row", "_ld_hash", "_ld_words", spans.alias("_ld_spans")), "ld-lines")
     keyed = lines.select("doc_id", "_ld_row", F.explode("_ld_spans").alias("c")).select(F.col("c.key").alias("_ld_key"), _at("c"))
     chunks = _chunks(cut, min_words)
-    keep = F.min("_ld_at").alias("_ld_keep")
-    seen = stored(chunks.groupBy("_ld_key").agg(F.count("*").alias("n"), keep, F.min("_ld_text").alias("low"), F.max("_ld_text").alias("high"))
-                  .where("n > 1").select("_ld_key", "_ld_keep", (F.col("low") == F.col("high")).alias("same")), "ld-seen")
+    # a text moves once for each task that holds it, then only the number of texts of its key is wanted
+    texts = chunks.groupBy("_ld_key", "_ld_text").agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep"))
+    seen = stored(texts.groupBy("_ld_key").agg(F.sum("n").alias("n"), F.min("_ld_keep").alias("_ld_keep"), (F.count("*") == 1).alias("same"))
+                  .where("n > 1"), "ld-seen")
     gone = _later(keyed, _with_near(seen.where("same"), lines, ["_ld_key"]), ["_ld_key"])
     if not (clash := seen.where("NOT same").select("_ld_key")).isEmpty():
-        texts = chunks.join(clash, "_ld_key", "left_semi")
         keys = ["_ld_key", "_ld_text"]
-        gone = gone.union(_later(texts, _with_near(texts.groupBy(keys).agg(keep), lines, keys), keys))
+        gone = gone.union(_later(chunks.join(clash, "_ld_key", "left_semi"), _with_near(
+            texts.join(clash, "_ld_key", "left_semi").where("n > 1"), lines, keys), keys))
     gone = gone.union(_long_runs(lines))
     gone = gone.groupBy("_ld_row").agg(F.collect_list("_ld_cut").alias("_ld_gone"))
     return _without(rows, stored(gone, "ld-gone"), docs.columns)
@@ -252,8 +255,7 @@ def _alike(a, b):
 def _later(occurrences: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """(row, chunk to cut: b, e, lines near the first occurrence) of the
     occurrences that are not their group's first."""
-    j = occurrences.withColumn("_salt", salt_of("_ld_at")).join(salted(groups), [*keys, "_salt"])
-    j = j.where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
+    j = meet(occurrences, groups, keys).where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
     return j.select("_ld_at._ld_row", F.struct("_ld_at.b", "_ld_at.e", "_ld_near.before", "_ld_near.after").alias("_ld_cut"))
 
 

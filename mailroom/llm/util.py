@@ -13,6 +13,9 @@ from ..session import prepare, scratch_path
 # Copies of the small side of a join whose other side may have one hot key.
 SALTS = 16
 
+# Keys that hold more than one in HOT of all counted rows: fewer than HOT of them exist.
+HOT = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -45,6 +48,18 @@ def salted(df: DataFrame, salts: int = SALTS, name: str = "_salt") -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to ``groups``, a stored table with one row for each key
+    and ``n``, the number of rows that have it (dropped). Keys with over 1/HOT of
+    the sum of n are fewer than HOT, whatever the input, so they are broadcast and
+    their rows stay where they are; no key that is shuffled has more than 1/HOT."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > F.lit(total / HOT)
+    few = groups.where(hot).drop("n")
+    cold = rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(groups.where(~hot).drop("n"), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(cold)
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of consecutive rows with equal keys, across batch borders, from
     a partition sorted by the keys. One group is held at a time."""

@@ -5,8 +5,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mailroom.llm import html_extract, jaccard_join, line_dedup, mixing, toxicity, warc
+from mailroom.llm import html_extract, jaccard_join, line_dedup, mixing, toxicity, util, warc
 from mailroom.session import scratch_path
 
 
@@ -80,3 +81,25 @@ def test_warc_of_other_writers(spark):
             f.write(raw)
     got = sorted((r["page_id"], r["payload"], r["payload_length"]) for r in warc.read(spark, path, payload=True).where("file like '%a.warc'").collect())
     assert [(p, bytes(x), n) for p, x, n in got] == [(7, b"one\r\n\r\ntwo!!", None), (8, b"ok", None)]
+
+
+def test_line_dedup_of_chunks_whose_hashes_collide(spark, monkeypatch):
+    """One key for all chunks: each is known by its text, so nothing else goes."""
+    spans = line_dedup._spans
+    monkeypatch.setattr(line_dedup, "_spans", lambda least: F.transform(spans(least), lambda c: F.struct(
+        F.lit(7).cast("long").alias("key"), *[c[k].alias(k) for k in ("b", "e", "text")])))
+    text = " ".join(f"Sentence number {i} of a text that recurs." for i in range(40))
+    rows = [(1, text), (2, "Alone it begins. " + text), (3, " ".join(f"Other words {i} are here." for i in range(40)))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: text, 2: "Alone it begins. ", 3: rows[2][1]}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_meet_is_a_join(spark, monkeypatch, hot):
+    """Whatever counts as hot, rows meet their groups once."""
+    monkeypatch.setattr(util, "HOT", hot)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(60)] + [(None, 99), (50, 100)], "k int, v int")
+    groups = util.stored(rows.where("k < 50").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first")), "groups")
+    got = sorted(map(tuple, util.meet(rows, groups, ["k"]).select("k", "v", "first").collect()))
+    assert got == sorted(map(tuple, rows.join(groups, "k").select("k", "v", "first").collect()))
+    assert util.meet(rows, util.stored(groups.limit(0), "none"), ["k"]).count() == 0
