@@ -14,7 +14,9 @@ from ..operators import dashboard as A
 from ..operators import knowledge as KB
 from ..operators import listing as L
 from ..operators import similarity as S
+from ..operators.page_rank import list_page_ranked
 from ..operators.search_index import SearchIndex
+from ..operators.substring_index import SubstringIndex
 from ..session import scratch_path
 from ..sources.fixtures import AS_OF, Fixtures, with_views
 from .oracle_views import DERIVED, topk_sql
@@ -131,10 +133,24 @@ register("list_search", f"""
 SELECT {_EMAIL_COLS} FROM emails
 WHERE subject ILIKE '%{SEARCH}%' OR sender_email ILIKE '%{SEARCH}%' OR sender_name ILIKE '%{SEARCH}%'""")(
     lambda spark, d: L.list_filter(_fx(spark, d).emails, search=SEARCH))
+@register("list_search_indexed", f"""
+SELECT {_EMAIL_COLS} FROM emails
+WHERE subject ILIKE '%{SEARCH}%' OR sender_email ILIKE '%{SEARCH}%' OR sender_name ILIKE '%{SEARCH}%'""")
+def _list_search_indexed(spark, d):
+    emails = _fx(spark, d).emails
+    index = SubstringIndex(spark, scratch_path(spark, "substrings"))
+    index.add(emails, 1)
+    return index.search(emails, SEARCH).select(emails.columns)
+
+
 register("list_page", f"""
 SELECT {_EMAIL_COLS} FROM emails WHERE status = 'sent' AND urgency = 'high'
 ORDER BY received_at DESC, id ASC LIMIT 20 OFFSET {(PAGE - 1) * 20}""")(
     lambda spark, d: L.list_page(_fx(spark, d).emails, page=PAGE, limit=20, **LIST_FILTERS))
+register("list_page_ranked", f"""
+SELECT {_EMAIL_COLS} FROM emails WHERE status = 'sent' AND urgency = 'high'
+ORDER BY received_at DESC, id ASC LIMIT 20 OFFSET {(PAGE - 1) * 20}""")(
+    lambda spark, d: list_page_ranked(_fx(spark, d).emails, page=PAGE, limit=20, **LIST_FILTERS))
 register("list_total_pages", """
 SELECT count(*) AS total, CAST((count(*) + 19) // 20 AS BIGINT) AS pages FROM emails
 WHERE status = 'sent' AND urgency = 'high'""")(
