@@ -63,6 +63,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,28 +142,31 @@ def _shredder(names: list[str], least: int):
                 "_ld_words": lambda: _lists(owner, n, pa.array(words)),
                 "_ld_lines": lambda: _lists(owner, n, pa.array(lines, pa.binary()).cast(pa.string())),
                 "_ld_ends": lambda: _lists(of, n, pa.array((e - before[of]).astype(np.int32))),
-                "_ld_chunks": lambda: chunks(),
+                "_ld_spans": lambda: chunks(False),
+                "_ld_chunks": lambda: chunks(True),
             }
 
-            def chunks():
+            def chunks(whole: bool):
                 total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
                 ok = (e - b > 1) & (total[e] - total[b] >= least)
                 cb, ce, co = b[ok], e[ok], of[ok]
                 texts = [b"".join(lines[x:y]).rstrip(b"\n ") for x, y in zip(cb.tolist(), ce.tolist(), strict=True)]
                 keys = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts)).view(np.int64)
                 at = before[co]
-                return _lists(co, n, pa.StructArray.from_arrays([
-                    pa.array(keys), pa.array((cb - at).astype(np.int32)), pa.array((ce - at).astype(np.int32)),
-                    pa.array(texts, pa.binary()).cast(pa.string())], ["key", "b", "e", "text"]))
+                parts = {"key": pa.array(keys), "b": pa.array((cb - at).astype(np.int32)), "e": pa.array((ce - at).astype(np.int32))}
+                if whole:
+                    parts["text"] = pa.array(texts, pa.binary()).cast(pa.string())
+                return _lists(co, n, pa.StructArray.from_arrays(list(parts.values()), list(parts)))
 
             yield pa.RecordBatch.from_arrays([made[c]() if c in made else batch.column(c) for c in names], names)
 
     return shred
 
 
-_CHUNK = T.StructType().add("key", T.LongType()).add("b", T.IntegerType()).add("e", T.IntegerType()).add("text", T.StringType())
-_WIN = T.StructType().add("b", T.IntegerType()).add("e", T.IntegerType()).add("key", T.LongType()).add("check", T.IntegerType())
-_MADE = {"_ld_lines": T.StringType(), "_ld_hash": T.LongType(), "_ld_words": T.IntegerType(), "_ld_ends": T.IntegerType(), "_ld_chunks": _CHUNK}
+_SPAN = T.StructType().add("key", T.LongType()).add("b", T.IntegerType()).add("e", T.IntegerType())
+_CHUNK = T.StructType([*_SPAN.fields, T.StructField("text", T.StringType())])
+_MADE = {"_ld_lines": T.StringType(), "_ld_hash": T.LongType(), "_ld_words": T.IntegerType(), "_ld_ends": T.IntegerType(),
+         "_ld_spans": _SPAN, "_ld_chunks": _CHUNK}
 
 
 def _shredded(df: DataFrame, made: list[str], least: int) -> DataFrame:
@@ -229,6 +233,9 @@ def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFram
     return stored(j.select(F.explode(F.transform("_ld_of", near)).alias("g")).select("g.*"), "ld-near")
 
 
+_WIN = np.dtype([("b", "<i4"), ("e", "<i4"), ("key", "<i8"), ("check", "<i4")])
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
@@ -291,30 +298,42 @@ def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = (_run_hash(_mixed(hashes), b, e, 0xAF251AF3B0F025B5) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         low = _lowest(signed, b, e)
         first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        wins = pa.StructArray.from_arrays([pa.array(place[b]), pa.array(place[e - 1] + np.int32(1)), pa.array(key), pa.array(check)],
-                                          ["b", "e", "key", "check"])
+        wins = np.empty(len(b), _WIN)
+        wins["b"], wins["e"], wins["key"], wins["check"] = place[b], place[e - 1] + 1, key, check
         of = pa.array(owner[b[first]])
+        packed = [wins[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(of), batch.column("_ld_row").take(of), pa.array(signed[low[first]]),
-             pa.ListArray.from_arrays(pa.array(np.append(first, len(b)), pa.int32()), wins)], ["doc_id", "_ld_row", "_ld_anchor", "_ld_wins"])
+            [batch.column("doc_id").take(of), batch.column("_ld_row").take(of), pa.array(signed[low[first]]), pa.array(packed, pa.binary())],
+            ["doc_id", "_ld_row", "_ld_anchor", "_ld_wins"])
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["_ld_key", "_ld_check", "b", "e"]
+    for batch in batches:
+        packed = batch.column("_ld_wins").to_pylist()
+        wins = np.frombuffer(b"".join(packed), _WIN)
+        of = pa.array(np.repeat(np.arange(len(packed)), [len(x) // _WIN.itemsize for x in packed]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("_ld_row").take(of), *[
+            pa.array(np.ascontiguousarray(wins[c.removeprefix("_ld_")])) for c in names]], ["doc_id", "_ld_row", *names])
 
 
 def _windows(df: DataFrame) -> DataFrame:
     """One row for each anchor: _ld_anchor, doc_id, _ld_row, and _ld_wins, the
-    windows (b: first line, e: line after the last, key, check) it stands for."""
+    windows (b: first line, e: line after the last, key, check) it stands for, packed."""
     df = df.select("doc_id", "_ld_row", "_ld_hash", "_ld_words")
-    schema = T.StructType([df.schema["doc_id"], df.schema["_ld_row"]]).add("_ld_anchor", T.LongType()).add(
-        "_ld_wins", T.ArrayType(_WIN))
+    schema = T.StructType([df.schema["doc_id"], df.schema["_ld_row"]]).add("_ld_anchor", T.LongType()).add("_ld_wins", T.BinaryType())
     return df.mapInArrow(_anchored, schema)
 
 
 def _long_runs(lines: DataFrame) -> DataFrame:
     """(row, lines to cut: b, e) of the windows that an earlier place holds."""
-    anchors = stored(_windows(lines), "ld-anchors")
+    anchors = _windows(lines)  # made again for each pass: less than it costs to keep them
     often = stored(anchors.groupBy("_ld_anchor").agg(F.count("*").alias("n")).where("n > 1"), "ld-often")
-    wins = meet(anchors, often, ["_ld_anchor"]).select("doc_id", "_ld_row", F.explode("_ld_wins").alias("w"))
-    wins = stored(wins.select(F.col("w.key").alias("_ld_key"), F.col("w.check").alias("_ld_check"),
-                              _at("w")), "ld-windows")
+    met = meet(anchors, often, ["_ld_anchor"]).select("doc_id", "_ld_row", "_ld_wins")
+    schema = T.StructType(met.schema.fields[:2]).add("_ld_key", T.LongType()).add("_ld_check", T.IntegerType()).add(
+        "b", T.IntegerType()).add("e", T.IntegerType())
+    wins = stored(met.mapInArrow(_unpacked, schema).select(
+        "_ld_key", "_ld_check", F.struct("doc_id", "_ld_row", "b", "e").alias("_ld_at")), "ld-windows")
     keys = ["_ld_key", "_ld_check"]
     first = stored(wins.groupBy(keys).agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep")).where("n > 1"), "ld-first")
     j = meet(wins, first, keys).where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
@@ -327,13 +346,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ready(docs.sparkSession)
     # a row's number tells repeated doc_ids apart; passes over a table of files number its rows alike
     rows = docs.withColumn("_ld_row", F.monotonically_increasing_id())
-    cut = rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''")
-    cut = _shredded(cut, ["_ld_hash", "_ld_words", "_ld_chunks"], min_words)
+    texts = rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''")
     # no texts: the hash and the words of each line, and the chunks' keys
-    spans = F.transform(_spans(min_words), lambda c: F.struct(c["key"].alias("key"), c["b"].alias("b"), c["e"].alias("e")))
-    lines = stored(cut.select("doc_id", "_ld_row", "_ld_hash", "_ld_words", spans.alias("_ld_spans")), "ld-lines")
+    lines = stored(_shredded(texts, ["_ld_hash", "_ld_words", "_ld_spans"], min_words), "ld-lines")
     keyed = lines.select("doc_id", "_ld_row", F.explode("_ld_spans").alias("c")).select(F.col("c.key").alias("_ld_key"), _at("c"))
-    chunks = _chunks(cut, min_words)
+    chunks = _chunks(_shredded(texts, ["_ld_chunks"], min_words), min_words)
     # a text moves once for each task that holds it, then only the number of texts of its key is wanted
     texts = chunks.groupBy("_ld_key", "_ld_text").agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep"))
     seen = stored(texts.groupBy("_ld_key").agg(F.sum("n").alias("n"), F.min("_ld_keep").alias("_ld_keep"), (F.count("*") == 1).alias("same"))
@@ -375,32 +392,37 @@ def _remaining(text: bytes, begin: np.ndarray, end: np.ndarray, grow: list) -> t
     return b"".join([x for x, here in zip(lines, stay.tolist(), strict=True) if here]), len(lines) - int(stay.sum())
 
 
-def _remainder(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-    """Texts and numbers of lines lost; null where nothing is cut (null text or cuts)."""
-    of = cuts.value_lengths().fill_null(0).to_numpy()
+def _small(texts: pa.Array) -> pa.Array:
+    """Texts as they move to their cuts."""
+    z = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if t is None else z.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _remainder(small: pa.Array, cuts: pa.Array) -> pa.Array:
+    """Texts without their cuts (all of a text that has none) and the numbers of lines lost."""
+    z = zstandard.ZstdDecompressor()
     flat = cuts.flatten()
     begin, end = flat.field("b").to_numpy(), flat.field("e").to_numpy()
     before, after = flat.field("before"), flat.field("after")
     grows = (before.value_lengths().to_numpy() + after.value_lengths().to_numpy()) > 0
     out, start = [], 0
-    for text, n in zip(texts.cast(pa.binary()), of.tolist(), strict=True):
-        stop = start + n
-        if n == 0 or not text.is_valid:
-            out.append(None)
-        else:
+    for text, n in zip(small.to_pylist(), cuts.value_lengths().fill_null(0).to_pylist(), strict=True):
+        text, stop = text if text is None else z.decompress(text), start + n
+        if n and text is not None:
             grow = [(k, before[start + k].as_py(), after[start + k].as_py()) for k in np.flatnonzero(grows[start:stop]).tolist()]
-            out.append(_remaining(text.as_py(), begin[start:stop], end[start:stop], grow))
+            out.append(_remaining(text, begin[start:stop], end[start:stop], grow))
+        else:
+            out.append((text, 0))
         start = stop
-    left = pa.array([x and x[0] for x in out], pa.binary()).cast(pa.string())
-    return pa.StructArray.from_arrays([left, pa.array([x and x[1] for x in out], pa.int64())], ["text", "lost"])
+    left = pa.array([t for t, _ in out], pa.binary()).cast(pa.string())
+    return pa.StructArray.from_arrays([left, pa.array([n for _, n in out], pa.int64())], ["text", "lost"])
 
 
 def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     # always by sort-merge: the same plan for few and for many rows to change
-    j = rows.join(gone.hint("merge"), "_ld_row", "left")
-    rest = F.arrow_udf(_remainder, "text string, lost bigint")
-    cut = j.withColumn("_ld_new", rest(F.when(F.col("_ld_gone").isNotNull(), F.col("text")), F.col("_ld_gone")))
-    out = {"text": F.coalesce("_ld_new.text", "text")}
+    j = rows.withColumn("text", F.arrow_udf(_small, "binary")("text")).join(gone.hint("merge"), "_ld_row", "left")
+    cut = j.withColumn("_ld_new", F.arrow_udf(_remainder, "text string, lost bigint")("text", "_ld_gone"))
+    out = {"text": F.col("_ld_new.text")}
     if "n_chars" in columns:
         out["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(
             F.length("_ld_new.text")).cast(rows.schema["n_chars"].dataType)
