@@ -89,3 +89,13 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, fx, parts):
     assert got == base
     assert kl == sorted(tuple(r) for r in KB.kb_list(KB.chunk(fx.kb_sources)).collect())
     assert F is not None
+
+
+def test_search_texts_read_the_persisted_parse(spark):
+    """The parsed responses stay persisted, so no JSON parse is inlined below the texts."""
+    from mailroom.plans import catalog
+
+    p = _plan(catalog.QUERIES["search_query"](spark, "/root/testdata/sf0.001"))
+    above = p.split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in p and "try_parse_json" not in above and "try_variant_get" not in above
+    spark.catalog.clearCache()
