@@ -99,3 +99,37 @@ def test_search_texts_read_the_persisted_parse(spark):
     above = p.split("InMemoryRelation")[0]
     assert "InMemoryTableScan" in p and "try_parse_json" not in above and "try_variant_get" not in above
     spark.catalog.clearCache()
+
+
+def test_bodies_do_not_pass_through_the_triage_joins(spark, stored):
+    """A body's length and its first characters are taken below the first exchange."""
+    from mailroom.plans import triage as TR
+
+    emails, chunks = stored
+    words = emails.select(F.col("id").alias("email_id"), F.lit("{").alias("response_text"))
+    depts = spark.sql("SELECT 1 ord, 'x' id, 'General' name, 'd' description, 't' tone, 's' signature, 0.5D auto_send_threshold")
+    made = TR.triage(emails, words, chunks, depts)
+    for df in (made.state, made.reply_requests):
+        above = [line for line in _plan(df).splitlines() if "Exchange" in line or "Sort " in line or "Join" in line]
+        assert above and not any("text_body" in line or "html_body" in line for line in above)
+        joined = df._jdf.queryExecution().optimizedPlan()
+        assert not any(c in str(n.output()) for n in _nodes(joined) if "Join" in n.nodeName() for c in ("text_body", "html_body"))
+    made.release()
+    asked = emails.select(F.col("id").alias("email_id"), F.lit(1).alias("seq"), F.lit("regenerate").alias("action"), F.lit("x").alias("custom_instructions")).limit(3)
+    regen = TR.regenerate_requests(emails, asked, chunks)
+    p = regen._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in p and regen.count() == 3
+
+
+def _nodes(plan):
+    kids = plan.children()
+    return [plan, *[n for i in range(kids.size()) for n in _nodes(kids.apply(i))]]
+
+
+def test_terms_of_large_tables_are_cut_finer(spark, monkeypatch):
+    """A task of the index gets 8 MB of scanned text at most, as the table grows."""
+    from mailroom.plans import sizing
+
+    monkeypatch.setattr(sizing, "input_bytes", lambda df: 6 << 30)
+    chunks = spark.createDataFrame([(1, 0, "a b a")], "upload_id long, chunk_index int, content string")
+    assert "hashpartitioning(upload_id#" in (p := _plan(KB.kb_index(chunks))) and ", 768)" in p
