@@ -129,3 +129,22 @@ def test_only_a_missing_table_counts_as_empty(spark):
     spark.range(1).write.parquet(path)
     with pytest.raises(AnalysisException):
         J.read_or_empty(spark, path, "id long, id long").count()
+
+
+def test_replay_files_are_written_in_one_pass_and_in_order(spark):
+    """However many files: two passes over the rows (count and cuts; files), ranges in the order of their times."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    rows = spark.range(0, 4000, 1, 1).select(F.when(F.col("id") % 100 != 0, 3999 - F.col("id")).alias("id"), F.col("id").alias("k"))
+    path = scratch_path(spark, "ordered")
+    assert J.write_ordered_files(rows.mapInArrow(counted, rows.schema), path, "id", parts=8) == 8
+    assert passes.value <= 4
+    got = spark.read.parquet(path).select("id", F.input_file_name().alias("f"), F.col("_metadata.file_modification_time").alias("t"))
+    ranges = got.groupBy("f").agg(F.min("id"), F.max("id"), F.max("t")).collect()
+    assert len(ranges) == 8 and got.count() == 3960
+    by_time = sorted(ranges, key=lambda r: r[3])
+    assert all(a[2] < b[1] and a[3] < b[3] for a, b in zip(by_time, by_time[1:]))
