@@ -163,3 +163,17 @@ def test_knowledge_stream_keeps_index_and_chunks_alike(spark):
     got = found(S.search(queries, index, ["q_id"]))
     same(got, found(S.search(queries, KB.kb_index(chunks), ["q_id"])))
     assert [g[:4] for g in got] == [(1, 1, 3, 0), (1, 2, 4, 0), (1, 3, 1, 0), (2, 1, 4, 0)]
+
+
+def test_queries_move_as_compressed_bundles(spark):
+    """A query goes to every shard: as a bundle with its neighbours it takes a part of its terms' bytes, and comes back whole."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(3000)]
+    rows = [(i, [rng.choice(words) for _ in range(40)]) for i in range(2000)] + [(9000, ["", "é", "ΟΔΟΣ"]), (9001, [])]
+    packed = spark.createDataFrame([(i, t, [1] * len(t), len(t)) for i, t in rows], "q_id long, toks array<string>, ns array<long>, n2 long").repartition(2, "q_id")
+    made = K.bundled(packed, ["q_id"]).toArrow()
+    assert made.nbytes < 0.35 * packed.toArrow().nbytes
+    back = pa.concat_tables(K._unbundled(made)).select(["q_id", "toks", "ns", "n2"])
+    assert sorted(back.to_pylist(), key=lambda r: r["q_id"]) == sorted(packed.toArrow().to_pylist(), key=lambda r: r["q_id"])
