@@ -177,3 +177,38 @@ def test_queries_move_as_compressed_bundles(spark):
     assert made.nbytes < 0.35 * packed.toArrow().nbytes
     back = pa.concat_tables(K._unbundled(made)).select(["q_id", "toks", "ns", "n2"])
     assert sorted(back.to_pylist(), key=lambda r: r["q_id"]) == sorted(packed.toArrow().to_pylist(), key=lambda r: r["q_id"])
+
+
+def test_a_kept_search_writes_nothing_for_a_query_and_a_block(spark, monkeypatch):
+    """Twice the blocks: what the search writes stays as it is, and the pass over all documents shuffles nothing."""
+    monkeypatch.setattr(K, "BLOCK", 16)
+    docs, queries = corpus(spark)
+    index = SearchIndex(spark, scratch_path(spark, "t-index"))
+    index.add(KB.kb_index(docs), 1)
+    blocks = index.bounds().select("block").distinct().count()
+    wrote, plans = [], []
+    keep, meet = K.written, K.score_bundles
+    monkeypatch.setattr(K, "written", lambda df, name: (t := keep(df, name), wrote.append(t.count()))[0])
+    monkeypatch.setattr(K, "score_bundles", lambda *a: (t := meet(*a), plans.append(t._jdf.queryExecution().sparkPlan().toString()))[0])
+    got = found(S.search(queries.unionByName(spark.createDataFrame([(None, "all and")], "q_id long, text string")), index, ["q_id"]))
+    same(got, brute(docs.collect(), queries.collect()))
+    assert blocks > 90 and sum(wrote) < 60 * blocks / 10
+    assert plans and "Exchange" not in plans[0] and "NestedLoop" in plans[0] + plans[0].replace("CartesianProduct", "NestedLoop")
+
+
+def test_known_floors_change_no_hit_at_or_above_them():
+    rng = random.Random(4)
+    texts = tongues(rng, 300)
+    toks = [sorted(set(t.split())) for t in texts]
+    ns = [[t.split().count(w) for w in ws] for t, ws in zip(texts, toks, strict=True)]
+    p = K.Postings(pa.table({"key": list(range(300)), "toks": toks, "ns": ns, "n2": [sum(v * v for v in n) for n in ns]}), ["key"], 32)
+    vocabulary = {w: i for i, w in enumerate(p.vocabulary.to_pylist())}
+    queries = [[w for w in t.split() if w in vocabulary] for t in tongues(rng, 40)]
+    q = np.concatenate([[i] * len(w) for i, w in enumerate(queries)]).astype(int)
+    args = q, np.array([vocabulary[w] for ws in queries for w in ws]), np.ones(len(q)), np.array([np.sqrt(max(1, len(w))) for w in queries]), 3
+    all_q, all_doc, all_score = p.best(*args)
+    floor = np.array([rng.choice((0.0, *all_score[all_q == i], 2.0)) for i in range(40)])
+    before = p.scored
+    got = p.best(*args, floor)
+    fit = all_score >= floor[all_q]
+    assert np.array_equal(got[0], all_q[fit]) and np.array_equal(got[1], all_doc[fit]) and p.scored - before < before
