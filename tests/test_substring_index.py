@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from mailroom.operators import listing as L
+from mailroom.operators import substring_index as X
 from mailroom.operators.substring_index import SubstringIndex, literal_grams
 from mailroom.session import scratch_path
 
@@ -64,3 +66,30 @@ def test_index_without_batches_and_short_texts(spark):
 def test_literal_grams():
     assert literal_grams("ab%cde_fghi") == ["cde", "fgh", "ghi"]
     assert literal_grams("a_b%") == []
+
+
+def test_numbers_come_back_from_their_gaps():
+    rng = random.Random(3)
+    runs = [sorted(rng.sample(range(X.BLOCK), rng.choice((1, 2, 40, X.BLOCK)))) for _ in range(60)] + [[0], [127], [128], [0, 128, 4095]]
+    start = np.cumsum([0, *map(len, runs[:-1])])
+    assert [X._numbers(b).tolist() for b in X._packed(start, np.concatenate(runs))] == runs
+    assert X._grams(["aaaa", None, "", "ab", "aab", "𝒳𝒴𝒵a"])[0] == ["aaa", "aab", "𝒳𝒴𝒵", "𝒴𝒵a"]
+
+
+def test_postings_are_one_row_for_a_gram_and_block_and_rows_do_not_move(spark, monkeypatch):
+    rows = [(f"m{i}", f"order the {i % 7}", f"anna{i}@example.org", None if i % 5 else "", "new") for i in range(3000)]
+    emails = spark.createDataFrame([*rows, *rows[:50], (None, "the", "", "", "new")], DDL).repartition(2)
+    idx = SubstringIndex(spark, scratch_path(spark, "grams"), buckets=8)
+    idx.add(emails, 1)
+    stored = idx._read("postings", X._POSTINGS).where("bucket >= 0")
+    held = stored.selectExpr("count(*)", "sum(n)", "sum(octet_length(at))").first()
+    assert held[1] > 80_000 and held[0] < held[1] / 8 and held[2] < 1.2 * held[1]
+    late = spark.createDataFrame([("late", "the last", "", "", "new")], DDL)
+    for few in (0, X.FEW):  # candidates that are many, and few
+        monkeypatch.setattr(X, "FEW", few)
+        for text in ("the", "the 3", "anna12", "%rde%the 6"):
+            got = idx.search(emails.union(late), text)
+            assert sorted(r.id for r in got.collect()) == sorted(r.id for r in L.list_filter(emails.where("id is not null"), search=text).collect())
+    monkeypatch.setattr(X, "FEW", 100)  # 3,050 candidates, one stranger
+    plan = idx.search(emails.union(late), "the")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
