@@ -17,31 +17,36 @@ How it works
      border beyond them, and a passage is cut alike wherever it was pasted. Two
      minima are never adjacent, so chunks have two lines or more (the first and
      the last of a text may have one).
-  3. Chunks are grouped by a 64-bit hash (partial aggregate: a chunk held by a
-     third of all rows is one row after the map side), which counts them, finds the
-     occurrence with the smallest (doc_id, row, line), which stays, and
+  3. What repeats lies in lines that recur, so line hashes are counted first, and
+     those found more than once are marked in a bitmap of bounded size, which is
+     broadcast. Only the *runs* of neighbouring lines in it, and blank ones, go
+     on. A line that the bitmap lets through by chance costs time and changes
+     nothing, since all that follows compares hashes or bytes of its own.
+  4. The chunks in a run are grouped by a 64-bit hash (partial aggregate: a chunk
+     held by a third of all rows is one row after the map side), which counts them,
+     finds the occurrence with the smallest (doc_id, row, line), which stays, and
      compares their *bytes*: the group is by hash and text first, and a hash that
      then stands for several texts is never looked up without its text.
-  4. A shared passage rarely begins and ends at chunk borders. So the first
+  5. A shared passage rarely begins and ends at chunk borders. So the first
      occurrence of a chunk brings the 64-bit hashes of the lines before and after
-     it, on either side until they have ``LONG`` words, and what is cut elsewhere
-     grows from the verified chunk outward over lines that equal these, until the
-     lines differ. Lines are only cut for equal ones at an earlier place, so the
-     first place of every line stays.
-  5. A single-line chunk, and one of fewer than ``min_words`` words, never goes:
+     it, on either side until they have ``LONG`` words or its run ends, and what is
+     cut elsewhere grows from the verified chunk outward over lines that equal
+     these, until the lines differ. Lines are only cut for equal ones at an earlier
+     place, so the first place of every line stays.
+  6. A single-line chunk, and one of fewer than ``min_words`` words, never goes:
      short lines recur by chance. Occurrences (without text) are joined to the
      repeated chunks, hot ones by a broadcast of bounded size (``util.meet``), and
-     each row gets the set of lines to cut. Texts move twice in all: to be
-     compared, and to meet their lines.
-  6. A passage of few lines may hold no whole chunk, so every run of lines of
+     each row gets the set of lines to cut. Of the texts, the lines that recur move
+     twice, to their runs and to be compared, and those of rows that lose lines
+     move once more, to meet them; a bitmap of these rows leaves the others in place.
+  7. A passage of few lines may hold no whole chunk, so every run of lines of
      ``LONG`` words or more is searched for as well. Its *windows* are the
      shortest runs of that many words from each of its lines on, and up to each;
      they cover it, and they do not depend on what stands around it. A line of
      ``LONG`` words is a window of its own. Blank lines do not count. A window is
-     known by 96 bits, hashes of its lines' hashes. Windows travel in groups, by
-     their smallest line hash (the *anchor*), and only those whose anchor recurs
-     are compared. So a line goes exactly if it is in a run of ``LONG`` words
-     that an earlier place holds, too, or in a repeated chunk of 3 and 4.
+     known by 96 bits, hashes of its lines' hashes. So a line goes exactly if it is
+     in a run of ``LONG`` words that an earlier place holds, too, or in a repeated
+     chunk of 4 and 5.
 
 Defined cases: null texts stay null, and empty ones empty; a text whose chunks
 all go becomes empty, its row stays; a row with a null doc_id sorts first;
@@ -52,7 +57,7 @@ names that start with ``_ld``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import meet, ready, stored
@@ -60,6 +65,7 @@ from .util import meet, ready, stored
 MIN_WORDS = 12
 LONG = 51  # words: runs of lines with over 50 are found wherever they stand
 REACH = 2 ** 31 - 1  # lines that a cut may grow over: no bound, beyond LONG words the windows go on
+MOST_BITS = 2 ** 27  # of a bitmap that is broadcast: at most 2 million rows of 64 bits
 _CUT = r"(?<=\n)|(?<=[.!?]\x20)"
 _MARK = "\x01"
 
@@ -72,7 +78,7 @@ def _lines(text):
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
     fast = F.split(marked, _MARK, -1)
-    return F.when(F.instr(text, _MARK) > 0, F.split(text, _CUT, -1)).otherwise(fast)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, _CUT, -1)).otherwise(fast)
 
 
 def _part(array: str, begin, end):
@@ -81,30 +87,35 @@ def _part(array: str, begin, end):
         F.transform(F.array().cast("array<int>"), lambda i: F.get(array, i)))
 
 
+def _hash(line):
+    return F.xxhash64(F.rtrim(F.rtrim(line, F.lit("\n"))))
+
+
 def _hashes(lines: str):
-    return F.transform(lines, lambda x: F.xxhash64(F.rtrim(F.rtrim(x, F.lit("\n")))))
+    return F.transform(lines, _hash)
 
 
 def chunked(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``_ld_lines``, the lines of the text, ``_ld_hash``, their
-    hashes, and ``_ld_ends``, the number of lines before the end of each chunk,
-    ascending."""
+    hashes, ``_ld_last``, whether a line is the last of its chunk, and
+    ``_ld_ends``, the number of lines before the end of each chunk, ascending."""
     df = df.withColumn("_ld_lines", _lines(F.col(text)))
     df = df.withColumn("_ld_hash", _hashes("_ld_lines"))
     # roll[i]: over lines i - 1 and i (0-based); the first line rolls alone
-    rolled = F.zip_with(F.col("_ld_hash"), F.concat(F.array(F.lit(0).cast("long")), F.col("_ld_hash")),
-                        lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn("_ld_roll", F.slice(rolled, 1, F.greatest(F.size("_ld_hash"), F.lit(0))))
-    n = F.size("_ld_roll")
-    far = F.lit(2 ** 63 - 1)
-    before = F.concat(F.array(far), F.col("_ld_roll"))
-    after = F.concat(F.slice(F.col("_ld_roll"), 2, F.greatest(n, F.lit(0))), F.array(far))
-    three = F.arrays_zip(F.col("_ld_roll").alias("r"), F.slice(before, 1, F.greatest(n, F.lit(0))).alias("b"), after.alias("a"))
-    flags = F.transform(three, lambda x, i: F.when((x["r"] < x["b"]) & (x["r"] < x["a"]) & (i > 0), i + 1).otherwise(F.lit(-1)))
-    df = df.withColumn("_ld_flags", flags)
-    ends = F.array_union(F.array_remove(F.col("_ld_flags"), F.lit(-1)), F.array(n))
-    df = df.withColumn("_ld_ends", F.when(n > 0, ends).otherwise(F.array().cast("array<int>")))
-    return df.drop("_ld_roll", "_ld_flags")
+    df = df.withColumn("_ld_roll", F.transform("_ld_hash", lambda x, i: F.xxhash64(x, F.coalesce(F.get("_ld_hash", i - 1), F.lit(0).cast("long")))))
+    # null after the last line, which ends a chunk, and before the first, which may not
+    least = lambda x, i: (x < F.get("_ld_roll", i - 1)) & (x < F.get("_ld_roll", i + 1))
+    df = df.withColumn("_ld_last", F.transform("_ld_roll", lambda x, i: (i + 1 == F.size("_ld_roll")) | F.coalesce(least(x, i), F.lit(False))))
+    ends = F.filter(F.transform("_ld_last", lambda x, i: F.when(x, i + 1)), lambda x: x.isNotNull())
+    return df.withColumn("_ld_ends", ends).drop("_ld_roll")
+
+
+def _n_words(line):
+    """The number of ``\\S+``: spaces and one, in a line whose only white space is single spaces."""
+    bare = F.trim(F.replace(line, F.lit("\n"), F.lit("")))
+    plain = (bare != "") & ~F.contains(bare, F.lit("  ")) & ~bare.rlike(r"[\t\x0B\f\r]")
+    return F.when(plain, F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1).otherwise(
+        F.regexp_count(line, F.lit(r"\S+")))
 
 
 def _let(value, use):
@@ -114,34 +125,73 @@ def _let(value, use):
 
 
 def _spans(min_words: int):
-    """The chunks that may go, as an array of key, b (first line), e (line after
-    the last) and text (its lines without white space at the end)."""
-    begin = F.concat(F.array(F.lit(0)), F.col("_ld_ends"))
-    span = F.arrays_zip(F.slice(begin, 1, F.size("_ld_ends")).alias("b"), F.col("_ld_ends").alias("e"))
-    inside = lambda array, s: F.transform(F.sequence(s["b"], s["e"] - 1), lambda i: F.get(array, i))
+    """The chunks that lie in a run of lines as a whole and may go, as an array of key,
+    b (first line), e (line after the last) and text (its lines without white space at the end)."""
+    places = lambda flag, more: F.filter(F.transform(flag, lambda x, i: F.when(x, i + more)), lambda x: x.isNotNull())
+    some = lambda array, s: F.slice(array, s["b"] + 1, s["e"] - s["b"])
+    # an end before the first begin is of a chunk that begins before the run; the last chunk may have no end in it
+    span = _let(places("_ld_begins", 0), lambda begin: F.zip_with(
+        begin, F.filter(places("_ld_last", 1), lambda e: e > F.get(begin, 0)), lambda b, e: F.struct(b.alias("b"), e.alias("e"))))
     chunk = _let(F.col("_ld_words"), lambda words: F.filter(span, lambda s: (s["e"] - s["b"] > 1) & (
-        F.aggregate(inside(words, s), F.lit(0), lambda n, x: n + x) >= min_words)))
-    chunk = F.transform(chunk, lambda s: F.struct(
-        s["b"].alias("b"), s["e"].alias("e"), F.rtrim(F.array_join(inside("_ld_lines", s), ""), F.lit("\n ")).alias("text")))
+        F.aggregate(some(words, s), F.lit(0), lambda n, x: n + x) >= min_words)))
+    chunk = _let(F.col("_ld_lines"), lambda lines: F.transform(chunk, lambda s: F.struct(
+        (s["b"] + F.col("_ld_from")).alias("b"), (s["e"] + F.col("_ld_from")).alias("e"), F.rtrim(
+            F.array_join(some(lines, s), ""), F.lit("\n ")).alias("text"))))
     return F.transform(chunk, lambda c: F.struct(F.xxhash64(c["text"]).alias("key"), c["b"].alias("b"), c["e"].alias("e"), c["text"].alias("text")))
 
 
-def _at(chunk: str):
-    return F.struct("doc_id", "_ld_row", f"{chunk}.b", f"{chunk}.e").alias("_ld_at")
+def _bitmap(keys: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """A bitmap of the keys (long, a stored table) as rows of 64 bits, and its size:
+    16 bits for a key, and never over MOST_BITS, however many there are."""
+    size = 64
+    while size < min(16 * keys.count(), MOST_BITS):
+        size *= 2
+    at = F.col(key).bitwiseAND(F.lit(size - 1))
+    bits = keys.select(F.shiftright(at, 6).alias("_ld_word"), F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))").alias("bit"))
+    return stored(bits.groupBy("_ld_word").agg(F.bit_or("bit").alias("_ld_bits")), name), size
+
+
+def _marked(rows: DataFrame, key: str, bitmap: tuple[DataFrame, int]) -> DataFrame:
+    """``rows`` with _ld_may: true wherever the key is in the bitmap's table, and for some others."""
+    bits, size = bitmap
+    j = rows.withColumn("_ld_word", F.shiftright(F.col(key).bitwiseAND(F.lit(size - 1)), 6)).join(F.broadcast(bits), "_ld_word", "left")
+    may = F.coalesce(F.getbit("_ld_bits", F.col(key).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return j.withColumn("_ld_may", may).drop("_ld_word", "_ld_bits")
+
+
+def _runs(texts: DataFrame, min_words: int) -> DataFrame:
+    """The runs of lines that may recur, each line by itself: _ld_from (first line), _ld_hash and _ld_words of
+    its lines, and _ld_spans, the chunks in it. Lines that do not recur are in no repeated chunk or run, so a
+    line left in needlessly costs time only, and blank lines stay."""
+    # here and below the outer form: no filter on the number of elements, which would compute them twice
+    counts = texts.select(F.explode_outer(_lines(F.col("text"))).alias("x")).select(_hash(F.col("x")).alias("_ld_h")).groupBy("_ld_h").agg(F.count("*").alias("n"))
+    again = _bitmap(stored(counts.where("n > 1").select("_ld_h"), "ld-again"), "_ld_h", "ld-bits")
+    cut = chunked(texts).select("doc_id", "_ld_row", "_ld_lines", "_ld_last", F.posexplode_outer("_ld_hash").alias("i", "h"))
+    cut = _marked(cut, "h", again).withColumn("t", F.get("_ld_lines", F.col("i")))
+    cut = cut.where(F.col("_ld_may") | (F.col("t") < "!") & ~F.col("t").rlike(r"\S"))
+    words = F.least(_n_words(F.col("t")), F.lit(max(LONG, min_words)))
+    begins = F.coalesce(F.get("_ld_last", F.col("i") - 1), F.lit(True))
+    cut = cut.select("doc_id", "_ld_row", "i", "h", "t", words.alias("w"), begins.alias("b"), F.get("_ld_last", F.col("i")).alias("e"))
+    by = Window.partitionBy("_ld_row").orderBy("i")
+    lines = F.sort_array(F.collect_list(F.struct("i", "h", "w", "b", "e", "t")))
+    runs = cut.withColumn("run", F.col("i") - F.row_number().over(by)).groupBy("_ld_row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("i").alias("_ld_from"), F.sum("w").alias("n"), lines.alias("l"))
+    of = {"_ld_hash": "h", "_ld_words": "w", "_ld_begins": "b", "_ld_last": "e", "_ld_lines": "t"}
+    runs = runs.where(F.col("n") >= min(LONG, min_words)).select("doc_id", "_ld_row", "_ld_from", *[F.col(f"l.{c}").alias(k) for k, c in of.items()])
+    return stored(runs.select("doc_id", "_ld_row", "_ld_from", "_ld_hash", "_ld_words", _spans(min_words).alias("_ld_spans")), "ld-runs")
 
 
-def _chunks(df: DataFrame, min_words: int) -> DataFrame:
-    """One row for each chunk that may go: _ld_key, _ld_text and _ld_at."""
-    rows = df.select("doc_id", "_ld_row", F.explode(_spans(min_words)).alias("c"))
-    return rows.select(F.col("c.key").alias("_ld_key"), F.col("c.text").alias("_ld_text"), _at("c"))
+def _at(chunk: str):
+    return F.struct("doc_id", "_ld_row", f"{chunk}.b", f"{chunk}.e").alias("_ld_at")
 
 
-def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+def _with_near(groups: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """``groups`` (keys, n, _ld_keep) with _ld_near: hashes of the lines before the
-    first occurrence, nearest first, and after it, until they have LONG words."""
+    first occurrence, nearest first, and after it, until they have LONG words or
+    the run ends: the next line does not recur."""
     of = F.struct(*keys, "n", "_ld_keep")
     firsts = groups.groupBy(F.col("_ld_keep._ld_row").alias("_ld_row")).agg(F.collect_list(of).alias("_ld_of"))
-    j = lines.select("_ld_row", "_ld_hash", "_ld_words").join(firsts, "_ld_row")
+    j = runs.select("_ld_row", "_ld_from", "_ld_hash", "_ld_words").join(firsts, "_ld_row")
 
     def lines_of(some):  # words in the upper bits, lines in the lower
         got = F.aggregate(some, F.lit(0).cast("long"), lambda got, n: F.when(got < LONG << 32, got + n.cast("long") * 2 ** 32 + 1).otherwise(got))
@@ -153,7 +203,7 @@ def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFram
         return lines_of(few)
 
     def near(g):
-        b, e = g["_ld_keep"]["b"], g["_ld_keep"]["e"]
+        b, e = g["_ld_keep"]["b"] - F.col("_ld_from"), g["_ld_keep"]["e"] - F.col("_ld_from")
         low = F.greatest(b - 16, F.lit(0))
         n = F.size("_ld_words")
         back = until(F.reverse(_part("_ld_words", low, b)), F.reverse(_part("_ld_words", F.lit(0), b)))
@@ -161,55 +211,35 @@ def _with_near(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFram
         return F.struct(*[g[k].alias(k) for k in [*keys, "n"]], g["_ld_keep"].alias("_ld_keep"), F.struct(
             F.reverse(_part("_ld_hash", b - back, b)).alias("before"), _part("_ld_hash", e, e + on).alias("after")).alias("_ld_near"))
 
-    return stored(j.select(F.explode(F.transform("_ld_of", near)).alias("g")).select("g.*"), "ld-near")
-
-
-def _windows(df: DataFrame) -> DataFrame:
-    """One row for each anchor: _ld_anchor, doc_id, _ld_row, and _ld_wins, the
-    windows (b: first line, e: line after the last, key, check) it stands for."""
-    enough = LONG * 64  # words in the upper bits, lines in the lower six: no line is without a word
-    present = lambda x: x.isNotNull()
-
-    def lines_of(words, start, most):
-        return F.aggregate(F.sequence(start, F.least(start + most, F.size(words)) - 1), F.lit(0),
-                           lambda got, k: F.when(got < enough, got + F.get(words, k) * 64 + 1).otherwise(got))
-
-    def until(words):
-        near = F.transform(words, lambda n, i: lines_of(words, i, 8))
-        far = F.transform(near, lambda got, i: F.when((got >= enough) | (i + 8 >= F.size(words)), got).otherwise(lines_of(words, i, LONG)))
-        return F.filter(F.transform(far, lambda got, i: F.when(got >= enough, i + got % 64)), present)
-
-    def windows(at, hashes, ends):
-        # up to line e the shortest run begins at the last line that has its end no later
-        after = lambda i: F.coalesce(F.get(ends, i + 1), F.size(at) + 1)
-        wins = F.flatten(F.transform(ends, lambda e, i: F.transform(F.sequence(e, F.greatest(e, after(i) - 1)), lambda k: F.struct(
-            i.alias("b"), k.alias("e"), F.transform(F.sequence(i, k - 1), lambda j: F.get(hashes, j)).alias("l")))))
-        return F.transform(wins, lambda w: F.struct(
-            F.get(at, w["b"]).alias("b"), (F.get(at, w["e"] - 1) + 1).alias("e"), F.xxhash64(w["l"]).alias("key"), F.hash(w["l"]).alias("check"),
-            F.array_min(w["l"]).alias("low"), (w["b"] + F.array_position(w["l"], F.array_min(w["l"]))).alias("at")))
-
-    def grouped(wins):
-        first = F.filter(F.transform(wins, lambda w, i: F.when((i == 0) | (w["at"] != F.get(wins, i - 1)["at"]), i)), present)
-        win = lambda w: F.struct(*[w[c].alias(c) for c in ("b", "e", "key", "check")])
-        return _let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(wins, i)["low"].alias("low"), F.transform(
-            F.sequence(i, F.coalesce(F.get(f, k + 1), F.size(wins)) - 1), lambda j: win(F.get(wins, j))).alias("wins"))))
-
-    full = F.filter(F.transform("_ld_words", lambda n, i: F.when(n > 0, i)), present)
-    groups = _let(full, lambda at: _let(F.filter("_ld_words", lambda n: n > 0), lambda words: _let(
-        F.transform(at, lambda i: F.get("_ld_hash", i)), lambda hashes: _let(
-            until(words), lambda ends: _let(windows(at, hashes, ends), grouped)))))
-    # the outer form: no filter on the groups' number, which would compute them twice
-    df = df.select("doc_id", "_ld_row", F.explode_outer(groups).alias("g")).where("g is not null")
-    return df.select("doc_id", "_ld_row", F.col("g.low").alias("_ld_anchor"), F.col("g.wins").alias("_ld_wins"))
-
-
-def _long_runs(lines: DataFrame) -> DataFrame:
+    here = F.filter("_ld_of", lambda g: (g["_ld_keep"]["b"] >= F.col("_ld_from")) & (g["_ld_keep"]["b"] < F.col("_ld_from") + F.size("_ld_hash")))
+    return stored(j.select(F.explode_outer(F.transform(here, near)).alias("g")).where("g is not null").select("g.*"), "ld-near")
+
+
+def _windows(runs: DataFrame) -> DataFrame:
+    """One row for each window: _ld_at, _ld_key and _ld_check."""
+    long = runs.where(F.aggregate("_ld_words", F.lit(0), lambda a, n: a + n) >= LONG)
+    lines = long.select("doc_id", "_ld_row", "_ld_from", F.posexplode_outer("_ld_hash").alias("i", "h"), "_ld_words")
+    lines = lines.select("doc_id", "_ld_row", "_ld_from", (F.col("_ld_from") + F.col("i")).alias("b"), "h", F.get("_ld_words", F.col("i")).alias("w"))
+    run = Window.partitionBy("_ld_row", "_ld_from")
+    # words of the run up to the line's end and before it, which no two lines have alike, since blank ones are left out
+    lines = lines.where("w > 0").withColumn("till", F.sum("w").over(run.orderBy("b"))).withColumn("since", F.col("till") - F.col("w"))
+    on, up = run.orderBy("since").rangeBetween(0, LONG - 1), run.orderBy("till").rangeBetween(1 - LONG, 0)
+    lines = lines.withColumns({"on_n": F.sum("w").over(on), "on_l": F.collect_list("h").over(on), "on_e": F.max("b").over(on)})
+    lines = lines.withColumns({"up_n": F.sum("w").over(up), "up_l": F.collect_list("h").over(up), "up_b": F.min("b").over(up)})
+
+    def window(enough, line_hashes, b, e):
+        return F.when(enough, F.struct(F.xxhash64(line_hashes).alias("key"), F.hash(line_hashes).alias("check"), b.alias("b"), (e + 1).alias("e")))
+
+    # the shortest run from a line on, and up to it, unless it is the shortest from its first line on, too
+    both = F.array(window(F.col("on_n") >= LONG, "on_l", F.col("b"), F.col("on_e")),
+                   window(F.col("up_n") - F.col("w") >= LONG, "up_l", F.col("up_b"), F.col("b")))
+    wins = lines.select("doc_id", "_ld_row", F.explode(both).alias("w")).where("w is not null")
+    return wins.select(F.col("w.key").alias("_ld_key"), F.col("w.check").alias("_ld_check"), _at("w"))
+
+
+def _long_runs(runs: DataFrame) -> DataFrame:
     """(row, lines to cut: b, e) of the windows that an earlier place holds."""
-    anchors = stored(_windows(lines), "ld-anchors")
-    often = stored(anchors.groupBy("_ld_anchor").agg(F.count("*").alias("n")).where("n > 1"), "ld-often")
-    wins = meet(anchors, often, ["_ld_anchor"]).select("doc_id", "_ld_row", F.explode("_ld_wins").alias("w"))
-    wins = stored(wins.select(F.col("w.key").alias("_ld_key"), F.col("w.check").alias("_ld_check"),
-                              _at("w")), "ld-windows")
+    wins = stored(_windows(runs), "ld-windows")
     keys = ["_ld_key", "_ld_check"]
     first = stored(wins.groupBy(keys).agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep")).where("n > 1"), "ld-first")
     j = meet(wins, first, keys).where(~F.col("_ld_at").eqNullSafe(F.col("_ld_keep")))
@@ -222,24 +252,20 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ready(docs.sparkSession)
     # a row's number tells repeated doc_ids apart; passes over a table of files number its rows alike
     rows = docs.withColumn("_ld_row", F.monotonically_increasing_id())
-    cut = chunked(rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''"))
-    words = F.transform("_ld_lines", lambda x: F.least(F.regexp_count(x, F.lit(r"\S+")), F.lit(max(LONG, min_words))))
-    cut = cut.withColumn("_ld_words", words)
-    # no texts: the hash and the words of each line, and the chunks' keys
-    spans = F.transform(_spans(min_words), lambda c: F.struct(c["key"].alias("key"), c["b"].alias("b"), c["e"].alias("e")))
-    lines = stored(cut.select("doc_id", "_ld_row", "_ld_hash", "_ld_words", spans.alias("_ld_spans")), "ld-lines")
-    keyed = lines.select("doc_id", "_ld_row", F.explode("_ld_spans").alias("c")).select(F.col("c.key").alias("_ld_key"), _at("c"))
-    chunks = _chunks(cut, min_words)
+    runs = _runs(rows.select("doc_id", "_ld_row", "text").where("text is not null and text <> ''"), min_words)
+    spans = runs.select("doc_id", "_ld_row", F.explode("_ld_spans").alias("c"))
+    keyed = spans.select(F.col("c.key").alias("_ld_key"), _at("c"))
+    chunks = spans.select(F.col("c.key").alias("_ld_key"), F.col("c.text").alias("_ld_text"), _at("c"))
     # a text moves once for each task that holds it, then only the number of texts of its key is wanted
     texts = chunks.groupBy("_ld_key", "_ld_text").agg(F.count("*").alias("n"), F.min("_ld_at").alias("_ld_keep"))
     seen = stored(texts.groupBy("_ld_key").agg(F.sum("n").alias("n"), F.min("_ld_keep").alias("_ld_keep"), (F.count("*") == 1).alias("same"))
                   .where("n > 1"), "ld-seen")
-    gone = _later(keyed, _with_near(seen.where("same"), lines, ["_ld_key"]), ["_ld_key"])
+    gone = _later(keyed, _with_near(seen.where("same"), runs, ["_ld_key"]), ["_ld_key"])
     if not (clash := seen.where("NOT same").select("_ld_key")).isEmpty():
         keys = ["_ld_key", "_ld_text"]
         gone = gone.union(_later(chunks.join(clash, "_ld_key", "left_semi"), _with_near(
-            texts.join(clash, "_ld_key", "left_semi").where("n > 1"), lines, keys), keys))
-    gone = gone.union(_long_runs(lines))
+            texts.join(clash, "_ld_key", "left_semi").where("n > 1"), runs, keys), keys))
+    gone = gone.union(_long_runs(runs))
     gone = gone.groupBy("_ld_row").agg(F.collect_list("_ld_cut").alias("_ld_gone"))
     return _without(rows, stored(gone, "ld-gone"), docs.columns)
 
@@ -260,8 +286,12 @@ def _later(occurrences: DataFrame, groups: DataFrame, keys: list[str]) -> DataFr
 
 
 def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    # always by sort-merge: the same plan for few and for many rows to change
-    j = rows.join(gone.hint("merge"), "_ld_row", "left")
+    name = "_ld_n_removed" if "n_removed" in columns else "n_removed"
+    some = gone.select(F.xxhash64("_ld_row").alias("_ld_key"))
+    rows = _marked(rows.withColumn("_ld_key", F.xxhash64("_ld_row")), "_ld_key", _bitmap(some, "_ld_key", "ld-rows"))
+    # rows that lose nothing stay where they are; the others always by sort-merge: the same plan for few and for many rows to change
+    whole = rows.where(~F.col("_ld_may")).select(*columns, F.lit(0).cast("long").alias(name))
+    j = rows.where("_ld_may").join(gone.hint("merge"), "_ld_row", "left")
     cut = j.withColumn("_ld_lines", F.when(F.col("_ld_gone").isNotNull(), _lines(F.col("text"))))
     cut = cut.withColumn("_ld_hash", _hashes("_ld_lines"))
 
@@ -269,7 +299,8 @@ def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
         low = F.greatest(c["b"] - F.size(c["before"]), F.lit(0))
         before = F.reverse(_part("_ld_hash", low, c["b"]))
         after = _part("_ld_hash", c["e"], F.least(c["e"] + F.size(c["after"]), F.size("_ld_hash")))
-        return F.sequence(c["b"] - _alike(before, c["before"]), c["e"] - 1 + _alike(after, c["after"]))
+        return F.when(F.size(c["before"]) + F.size(c["after"]) == 0, F.sequence(c["b"], c["e"] - 1)).otherwise(
+            F.sequence(c["b"] - _alike(before, c["before"]), c["e"] - 1 + _alike(after, c["after"])))
 
     cut = cut.withColumn("_ld_lost", F.array_distinct(F.flatten(F.transform("_ld_gone", reach)))).drop("_ld_hash")
     cut = cut.withColumn("_ld_stay", F.when(F.col("_ld_gone").isNotNull(), F.array_except(
@@ -280,5 +311,4 @@ def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
         out["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(
             F.length("_ld_new")).cast(rows.schema["n_chars"].dataType)
     removed = F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(F.size("_ld_lost")).cast("long")
-    name = "_ld_n_removed" if "n_removed" in columns else "n_removed"
-    return cut.select(*[out.get(c, F.col(c)).alias(c) for c in columns], removed.alias(name))
+    return cut.select(*[out.get(c, F.col(c)).alias(c) for c in columns], removed.alias(name)).union(whole)

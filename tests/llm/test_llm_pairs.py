@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -245,6 +246,34 @@ def test_line_dedup_grows_until_lines_differ(spark):
     assert set(left) <= {0, 12} and left.count(0) >= 30
 
 
+def test_line_dedup_goes_on_with_lines_that_recur_only(spark):
+    """Of all lines, those of the passages that are pasted three times make windows, and no others."""
+    rows = long_passages(random.Random(29), 10, (4, 6, 8))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_ld_row", F.col("doc_id"))
+    runs = line_dedup._runs(texts, line_dedup.MIN_WORDS)
+    cut, _ = long_runs_gone(rows)
+    seen = Counter(x.strip() for v in cut.values() for x in v if x.strip())
+    again = sum(n for n in seen.values() if n > 1)
+    assert 100 < again <= sum(len(r["_ld_hash"]) for r in runs.collect()) < 2 * again < sum(seen.values())
+    alone = texts.where("doc_id < 0").union(spark.createDataFrame([(1, "".join(f"Own sentence {i}. " for i in range(60)), 1)], texts.schema))
+    assert line_dedup._runs(alone, line_dedup.MIN_WORDS).count() == 0
+
+
+def test_line_dedup_with_a_full_bitmap(spark, monkeypatch):
+    """A bitmap too small to tell lines or rows apart lets all through, and the result stays."""
+    rows = long_passages(random.Random(31), 10, (1, 3, 6, 12)) + [(100, "Two  spaces.\tAnd a tab. \n \n"), (101, ""), (102, None)]
+    whole = sorted(map(tuple, line_dedup.line_dedup(docs_of(spark, rows)).collect()))
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 64)
+    assert sorted(map(tuple, line_dedup.line_dedup(docs_of(spark, rows)).collect())) == whole
+    assert sum(r[-1] for r in whole) > 20
+
+
+def test_words_of_a_line(spark):
+    lines = ["", "\n", " ", "\t\n", "one", " one two.\n", "a  b", "a\tb c", "a \x0b b\n", "\u00e4\u00a0\u00f6 \u00fc ", "a\r\n", "x " * 60]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select(line_dedup._n_words(F.col("x")).alias("n")).collect()
+    assert [r["n"] for r in got] == [len(re.findall(r"[^ \t\n\x0b\f\r]+", x)) for x in lines]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
