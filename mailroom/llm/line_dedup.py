@@ -160,8 +160,8 @@ def _marked(rows: DataFrame, key: str, bitmap: tuple[DataFrame, int]) -> DataFra
 
 
 def _runs(texts: DataFrame, min_words: int) -> DataFrame:
-    """The runs of lines that may recur, each line by itself: _ld_from (first line), _ld_hash and _ld_words of
-    its lines, and _ld_spans, the chunks in it. Lines that do not recur are in no repeated chunk or run, so a
+    """The runs of lines that may recur, each line by itself: _ld_from (first line), _ld_hash, _ld_words and
+    _ld_till (words of the row's such lines up to it) of its lines, and _ld_spans, the chunks in it. Lines that do not recur are in no repeated chunk or run, so a
     line left in needlessly costs time only, and blank lines stay."""
     # here and below the outer form: no filter on the number of elements, which would compute them twice
     counts = texts.select(F.explode_outer(_lines(F.col("text"))).alias("x")).select(_hash(F.col("x")).alias("_ld_h")).groupBy("_ld_h").agg(F.count("*").alias("n"))
@@ -173,12 +173,13 @@ def _runs(texts: DataFrame, min_words: int) -> DataFrame:
     begins = F.coalesce(F.get("_ld_last", F.col("i") - 1), F.lit(True))
     cut = cut.select("doc_id", "_ld_row", "i", "h", "t", words.alias("w"), begins.alias("b"), F.get("_ld_last", F.col("i")).alias("e"))
     by = Window.partitionBy("_ld_row").orderBy("i")
-    lines = F.sort_array(F.collect_list(F.struct("i", "h", "w", "b", "e", "t")))
-    runs = cut.withColumn("run", F.col("i") - F.row_number().over(by)).groupBy("_ld_row", "run").agg(
+    lines = F.sort_array(F.collect_list(F.struct("i", "h", "w", "till", "b", "e", "t")))
+    cut = cut.withColumns({"run": F.col("i") - F.row_number().over(by), "till": F.sum("w").over(by)})
+    runs = cut.groupBy("_ld_row", "run").agg(
         F.first("doc_id").alias("doc_id"), F.min("i").alias("_ld_from"), F.sum("w").alias("n"), lines.alias("l"))
-    of = {"_ld_hash": "h", "_ld_words": "w", "_ld_begins": "b", "_ld_last": "e", "_ld_lines": "t"}
+    of = {"_ld_hash": "h", "_ld_words": "w", "_ld_till": "till", "_ld_begins": "b", "_ld_last": "e", "_ld_lines": "t"}
     runs = runs.where(F.col("n") >= min(LONG, min_words)).select("doc_id", "_ld_row", "_ld_from", *[F.col(f"l.{c}").alias(k) for k, c in of.items()])
-    return stored(runs.select("doc_id", "_ld_row", "_ld_from", "_ld_hash", "_ld_words", _spans(min_words).alias("_ld_spans")), "ld-runs")
+    return stored(runs.select("doc_id", "_ld_row", "_ld_from", "_ld_hash", "_ld_words", "_ld_till", _spans(min_words).alias("_ld_spans")), "ld-runs")
 
 
 def _at(chunk: str):
@@ -218,21 +219,23 @@ def _with_near(groups: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame
 def _windows(runs: DataFrame) -> DataFrame:
     """One row for each window: _ld_at, _ld_key and _ld_check."""
     long = runs.where(F.aggregate("_ld_words", F.lit(0), lambda a, n: a + n) >= LONG)
-    lines = long.select("doc_id", "_ld_row", "_ld_from", F.posexplode_outer("_ld_hash").alias("i", "h"), "_ld_words")
-    lines = lines.select("doc_id", "_ld_row", "_ld_from", (F.col("_ld_from") + F.col("i")).alias("b"), "h", F.get("_ld_words", F.col("i")).alias("w"))
+    lines = long.select("doc_id", "_ld_row", "_ld_from", F.posexplode_outer("_ld_hash").alias("i", "h"), "_ld_words", "_ld_till")
+    lines = lines.select("doc_id", "_ld_row", "_ld_from", (F.col("_ld_from") + F.col("i")).alias("b"), "h",
+                         F.get("_ld_words", F.col("i")).alias("w"), F.get("_ld_till", F.col("i")).alias("till"))
     run = Window.partitionBy("_ld_row", "_ld_from")
-    # words of the run up to the line's end and before it, which no two lines have alike, since blank ones are left out
-    lines = lines.where("w > 0").withColumn("till", F.sum("w").over(run.orderBy("b"))).withColumn("since", F.col("till") - F.col("w"))
+    # words before the line's end and before it, which no two lines have alike, since blank ones are left out
+    lines = lines.where("w > 0").withColumn("since", F.col("till") - F.col("w"))
     on, up = run.orderBy("since").rangeBetween(0, LONG - 1), run.orderBy("till").rangeBetween(1 - LONG, 0)
-    lines = lines.withColumns({"on_n": F.sum("w").over(on), "on_l": F.collect_list("h").over(on), "on_e": F.max("b").over(on)})
-    lines = lines.withColumns({"up_n": F.sum("w").over(up), "up_l": F.collect_list("h").over(up), "up_b": F.min("b").over(up)})
+    lines = lines.withColumns({"on_l": F.collect_list("h").over(on), "on_e": F.max("b").over(on), "on_n": F.max("till").over(on) - F.col("since")})
+    lines = lines.withColumns({"on_key": F.xxhash64("on_l"), "on_check": F.hash("on_l")}).drop("on_l")
+    lines = lines.withColumns({"up_l": F.collect_list("h").over(up), "up_b": F.min("b").over(up), "up_n": F.col("till") - F.min("since").over(up)})
 
-    def window(enough, line_hashes, b, e):
-        return F.when(enough, F.struct(F.xxhash64(line_hashes).alias("key"), F.hash(line_hashes).alias("check"), b.alias("b"), (e + 1).alias("e")))
+    def window(enough, key, check, b, e):
+        return F.when(enough, F.struct(key.alias("key"), check.alias("check"), b.alias("b"), (e + 1).alias("e")))
 
     # the shortest run from a line on, and up to it, unless it is the shortest from its first line on, too
-    both = F.array(window(F.col("on_n") >= LONG, "on_l", F.col("b"), F.col("on_e")),
-                   window(F.col("up_n") - F.col("w") >= LONG, "up_l", F.col("up_b"), F.col("b")))
+    both = F.array(window(F.col("on_n") >= LONG, F.col("on_key"), F.col("on_check"), F.col("b"), F.col("on_e")),
+                   window(F.col("up_n") - F.col("w") >= LONG, F.xxhash64("up_l"), F.hash("up_l"), F.col("up_b"), F.col("b")))
     wins = lines.select("doc_id", "_ld_row", F.explode(both).alias("w")).where("w is not null")
     return wins.select(F.col("w.key").alias("_ld_key"), F.col("w.check").alias("_ld_check"), _at("w"))
 
