@@ -212,3 +212,33 @@ def test_known_floors_change_no_hit_at_or_above_them():
     got = p.best(*args, floor)
     fit = all_score >= floor[all_q]
     assert np.array_equal(got[0], all_q[fit]) and np.array_equal(got[1], all_doc[fit]) and p.scored - before < before
+
+
+def test_documents_in_bundles_are_scored_against_floors_of_earlier_ones(spark, monkeypatch):
+    """A shard's documents come as compressed bundles that are opened a few at a time; hits,
+    ties between bundles included, equal a search of all at once, also beyond single precision."""
+    monkeypatch.setattr(K, "_DOCUMENTS", 40)
+    rng = random.Random(8)
+    texts = tongues(rng, 200)
+    texts[150:160] = texts[20:30]  # ties: the larger key wins
+    counts = [{w: t.split().count(w) for w in sorted(set(t.split()))} for t in texts]
+    counts[7] = {w: 5000 * n for w, n in counts[7].items()}
+    rows = [(i, list(c), list(c.values()), sum(v * v for v in c.values())) for i, c in enumerate(counts) if c]
+    docs = spark.createDataFrame(rows, "key long, toks array<string>, ns array<long>, n2 long")
+    asked = docs.withColumnRenamed("key", "q_id")
+    schema = pa.schema([("q_id", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+    bundles = [K.bundled(docs.where(F.col("key") % 5 == i).coalesce(1), ["key"]).toArrow() for i in range(5)]
+    run = K._scorer(["q_id"], ["key"], 3, schema)
+    hits = run(pa.concat_tables(bundles), K.bundled(asked.coalesce(1), ["q_id"]).toArrow()).to_pylist()
+    whole = K.Postings(docs.toArrow(), ["key"])
+    want = K._scored(["q_id"], 3, schema)(whole, *K._plain(asked.toArrow())).to_pylist()
+    best = lambda found: sorted((q, *h) for q in {f["q_id"] for f in found} for h in sorted(
+        ((f["score"], f["key"]) for f in found if f["q_id"] == q), reverse=True)[:3])
+    assert best(hits) == best(want) and len(want) == 3 * len(rows)
+    assert len(hits) < 4 * len(want)  # what cannot be among the hits stays in its task
+
+
+def test_a_shard_takes_documents_as_bundles(spark):
+    docs, queries = corpus(spark, n=300, q=10)
+    p = S.search(queries, KB.kb_index(docs), ["q_id"], shards=4)._jdf.queryExecution().executedPlan().toString()
+    assert p.count("MapInArrow") >= 2  # both sides of the cogroup
