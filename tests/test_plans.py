@@ -133,3 +133,45 @@ def test_terms_of_large_tables_are_cut_finer(spark, monkeypatch):
     monkeypatch.setattr(sizing, "input_bytes", lambda df: 6 << 30)
     chunks = spark.createDataFrame([(1, 0, "a b a")], "upload_id long, chunk_index int, content string")
     assert "hashpartitioning(upload_id#" in (p := _plan(KB.kb_index(chunks))) and ", 768)" in p
+
+
+def test_triage_outputs_share_one_join_and_one_search(spark, stored, monkeypatch):
+    """Messages meet responses once and texts are searched once, however many outputs are
+    read; a subject is in no join of the state, and other tables make no more lots of queries."""
+    from mailroom.operators import topk_kernel as K
+    from mailroom.plans import sizing
+    from mailroom.plans import triage as TR
+
+    emails, chunks = stored
+    sizes = []
+    monkeypatch.setattr(K, "input_bytes", lambda df: (n := sizing.input_bytes(df), sizes.append(n))[0])
+    answers = emails.select(F.col("id").alias("email_id"), F.concat(F.lit('{"intent":"a","department":"b","sentiment":"c","urgency":"'), "urgency", F.lit('"}')).alias("response_text"))
+    depts = spark.sql("SELECT 1 ord, 'x' id, 'General' name, 'd' description, 't' tone, 's' signature, 0.5D auto_send_threshold")
+    made = TR.triage(emails, answers, chunks, depts)
+    assert sizes and max(sizes) < 200_000  # the texts alone, not the messages that they come from
+    for df in (made.state, made.activity, made.context):
+        p = _plan(df)
+        assert "FlatMapCoGroupsInArrow" not in p and "InMemoryTableScan" not in p and "subject#" not in p
+    assert made.state.count() == emails.count() and made.activity.count() == emails.count()
+    made.release()
+
+
+def test_triage_keys_stand_for_search_texts(spark, stored):
+    """Equal texts from unequal parts, texts without a subject, and failed responses."""
+    from mailroom.plans import triage as TR
+
+    _, chunks = stored
+    schema = "id string, message_id string, sender_name string, sender_email string, subject string, text_body string, html_body string, received_at timestamp_ntz"
+    emails = spark.createDataFrame([(f"m{i}", f"<{i}>", "n", "e", s, "body", "", None) for i, s in enumerate(["the", "the of", None, "", "the"])], schema)
+    said = '{"intent":"%s","department":"b","sentiment":"c","urgency":"d","key_topics":["the"]}'
+    answers = spark.createDataFrame([("m0", said % "of x"), ("m1", said % "x"), ("m2", said % "the"), ("m3", said % "the"), ("m4", "[1]"), ("zz", "[2]"), (None, "[3]")],
+                                    "email_id string, response_text string")
+    depts = spark.sql("SELECT 1 ord, 'x' id, 'General' name, 'd' description, 't' tone, 's' signature, 0.5D auto_send_threshold")
+    made = TR.triage(emails, answers, chunks, depts)
+    got = {r.email_id: r for r in made.context.collect()}
+    assert [got[f"m{i}"].search_text for i in range(4)] == ["the of x the", "the of x the", " the the", " the the"]
+    assert got["m0"].rag_context == got["m1"].rag_context and got["m2"].n_hits == got["m3"].n_hits == 3 and len(got) == 4
+    assert {r.id: r.status for r in made.state.collect()}["m4"] == "failed" and made.reply_requests.count() == 4
+    assert sorted(str(r.email_id) for r in made.failed.collect()) == ["None", "m4", "zz"]
+    assert sorted(str(r.email_id) for r in made.unmatched.collect()) == ["None", "zz"]
+    made.release()
