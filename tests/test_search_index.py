@@ -242,3 +242,29 @@ def test_a_shard_takes_documents_as_bundles(spark):
     docs, queries = corpus(spark, n=300, q=10)
     p = S.search(queries, KB.kb_index(docs), ["q_id"], shards=4)._jdf.queryExecution().executedPlan().toString()
     assert p.count("MapInArrow") >= 2  # both sides of the cogroup
+
+
+def test_searches_share_what_is_made_of_an_unchanged_index(spark, monkeypatch):
+    """Bundles and leading blocks are written once for each state of the index."""
+    from mailroom.operators import search_index as X
+
+    docs, queries = corpus(spark, n=200, q=10)
+    index, wrote = SearchIndex(spark, scratch_path(spark, "t-index")), []
+    keep = X.written
+    monkeypatch.setattr(X, "written", lambda df, name: (wrote.append(name), keep(df, name))[1])
+    index.add(KB.kb_index(docs), 1)
+    first = found(S.search(queries, index, ["q_id"]))
+    assert sorted(wrote) == ["search-held", "search-leading"] and found(S.search(queries, index, ["q_id"])) == first and len(wrote) == 2
+    index.delete(docs.where("upload_id % 2 = 0").select("upload_id"), 2)
+    left = found(S.search(queries, index, ["q_id"]))
+    same(left, brute(docs.where("upload_id % 2 = 1").collect(), queries.collect()))
+    assert wrote.count("search-held") == 2  # tombstones change the live documents
+    index.compact()
+    assert found(S.search(queries, index, ["q_id"])) == left
+
+
+def test_blocks_keep_to_a_tongue_though_rare_words_weigh_most(spark):
+    """A document lies with others by a token that many hold, not by a rare one that it repeats."""
+    toks = [[f"rare{i}", f"tongue{i % 4}"] for i in range(64)]
+    p = K.Postings(pa.table({"key": list(range(64)), "toks": toks, "ns": [[9, 2]] * 64, "n2": [85] * 64}), ["key"], 16)
+    assert all(len({i % 4 for i in p.side[16 * b:16 * b + 16]}) == 1 for b in range(4))
