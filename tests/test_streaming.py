@@ -148,3 +148,19 @@ def test_replay_files_are_written_in_one_pass_and_in_order(spark):
     assert len(ranges) == 8 and got.count() == 3960
     by_time = sorted(ranges, key=lambda r: r[3])
     assert all(a[2] < b[1] and a[3] < b[3] for a, b in zip(by_time, by_time[1:]))
+
+
+def test_responses_of_a_batch_are_parsed_by_all_cores(spark, fx, monkeypatch):
+    """One file of responses: the parse has as many tasks as twice the cores, not one."""
+    from mailroom.plans import triage as TR
+    from mailroom.session import scratch_path
+    from mailroom.streaming import jobs
+
+    src, base, parts = scratch_path(spark, "t-one"), scratch_path(spark, "t-one-out"), []
+    fx.responses.limit(40).coalesce(1).write.parquet(src)
+    monkeypatch.setattr(jobs, "triage", lambda e, r, *a, **k: (parts.append(r.rdd.getNumPartitions()), TR.triage(e, r, *a, **k))[1])
+    from mailroom.operators import knowledge as KB
+    q = J.stream_triage(J.file_stream(spark, src, fx.responses.schema), lambda: J.TriageTables(fx.emails, KB.chunk(fx.kb_sources), fx.departments), base, f"{base}/ck")
+    q.awaitTermination()
+    assert q.exception() is None and parts == [2 * spark.sparkContext.defaultParallelism]
+    assert spark.read.parquet(f"{base}/state").count() == 40
