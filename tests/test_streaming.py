@@ -150,6 +150,18 @@ def test_replay_files_are_written_in_one_pass_and_in_order(spark):
     assert all(a[2] < b[1] and a[3] < b[3] for a, b in zip(by_time, by_time[1:]))
 
 
+def test_only_the_stored_body_moves_through_the_dedup(spark):
+    """The body is chosen below the exchange of the dedup: neither raw body passes it."""
+    raw = spark.createDataFrame([("a", "<1>", "x@y", "s", "text", "<p>html</p>", None)],
+                                "id string, message_id string, sender_raw string, subject string, text_body string, html_body string, received_at timestamp")
+    from mailroom.operators import ingest as I
+    df = J._first_arrivals(I.with_sender(raw))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    merged = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "body_text" in merged and "text_body" not in merged and "html_body" not in merged and "sender_raw" not in merged
+    assert df.columns == J.INGEST_COLS and [r.body_text for r in df.collect()] == ["text"]
+
+
 def test_responses_of_a_batch_are_parsed_by_all_cores(spark, fx, monkeypatch):
     """One file of responses: the parse has as many tasks as twice the cores, not one."""
     from mailroom.plans import triage as TR
@@ -164,3 +176,12 @@ def test_responses_of_a_batch_are_parsed_by_all_cores(spark, fx, monkeypatch):
     q.awaitTermination()
     assert q.exception() is None and parts == [2 * spark.sparkContext.defaultParallelism]
     assert spark.read.parquet(f"{base}/state").count() == 40
+
+
+def test_ids_of_a_batch_take_one_file_for_each_bucket(spark):
+    """Ids from many tasks: a bucket's ids lie in one file, not in one for each task."""
+    from mailroom.operators.seen import SeenIds
+    path = scratch_path(spark, "t-seen-files")
+    SeenIds(spark, path, 4).remember(spark.range(4000).repartition(8).select(F.concat(F.lit("<"), "id", F.lit(">")).alias("message_id")), 0)
+    ids = spark.read.parquet(f"{path}/ids")
+    assert ids.count() == 4000 and len(ids.inputFiles()) == 4
